@@ -12,6 +12,7 @@ undecided at most; those meet in ever fewer blocks, and only the last two of a s
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 from typing import Any
 
@@ -57,8 +58,8 @@ def targets(sized: DataFrame, source: str, size: str, weights: tuple[float, ...]
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move ``p`` until two at most are strictly between 0 and 1; with ``land``, until none is.
 
-    The sums of p and of p * size stay as they are. Landing gives up the words first, then
-    the count, so that the last choice moves one document.
+    The sums of p and of p * size stay as they are. The landing of the last two takes the
+    outcome whose words are nearest, and then whose count is.
     """
     p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p)).astype(float)
     open_ = [int(i) for i in np.flatnonzero((p > 0) & (p < 1))]
@@ -87,18 +88,32 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
             u = [b - c, c - a, a - b]
             top = max(map(abs, u))
             active = step(active, [x / top for x in u] if top else [1.0, -1.0, 0.0])
-        elif len(active) == 2 and (land or sizes[active[0]] == sizes[active[1]]):
+        elif len(active) == 2 and sizes[active[0]] == sizes[active[1]]:
             active = step(active, [1.0, -1.0])
-        elif len(active) == 1 and land:
-            i = active.pop()
-            out[i] = float(next(draws) < out[i])
         else:
-            return np.array(out)
+            break
+    if land:
+        ways = itertools.product((0.0, 1.0), repeat=len(active))
+        off = lambda way: [x - out[i] for x, i in zip(way, active, strict=True)]
+        best = min(ways, key=lambda way: (abs(sum(d * sizes[i] for d, i in zip(off(way), active, strict=True))), abs(sum(off(way))), way))
+        for i, x in zip(active, best, strict=True):
+            out[i] = x
+    return np.array(out)
+
+
+def interleaved(size: np.ndarray) -> np.ndarray:
+    """An order of large and small in turn: the small ones balance each large one while it is open."""
+    down = np.argsort(-size, kind="stable")
+    half = (len(down) + 1) // 2
+    order = np.empty_like(down)
+    order[::2], order[1::2] = down[:half], down[half:][::-1]
+    return order
 
 
 def _fly(seed: int, level: int, land: bool):
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__unit", "__key"], ascending=[False, True])  # small ones stay for the landing
+        pdf = pdf.sort_values("__key")
+        pdf = pdf.iloc[interleaved(pdf["__unit"].to_numpy())]
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         return pdf.assign(__p=flight(pdf["__p"].to_numpy(), pdf["__unit"].to_numpy(), rng, land))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding
+from . import chat, html, mixing, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op8_html": html.op8_html,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_tool_calls": chat.op10_tool_calls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_tool_calls": chat.OP10_SQL,
+}

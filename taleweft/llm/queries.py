@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, secrets, sharding
+from . import chat, decontaminate, html, mixing, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_topk": topk.op3_topk,
+    "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op8_html": html.op8_html,
     "op9_secret_scan": secrets.op9_secret_scan,
@@ -13,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_topk": topk.OP3_SQL,
     "op10_tool_calls": chat.OP10_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, mixing, quality, secrets, sharding, topk
+from . import chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op7_neardup": neardup.op7_neardup,
     "op8_html": html.op8_html,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_tool_calls": chat.op10_tool_calls,

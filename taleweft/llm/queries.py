@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, topk
+from . import chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, substring, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_topk": topk.op3_topk,
     "op4_quality": quality.op4_quality,
+    "op5_substring": substring.op5_substring,
     "op6_mixing": mixing.op6_mixing,
     "op7_neardup": neardup.op7_neardup,
     "op8_html": html.op8_html,

@@ -1,6 +1,402 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import complete_key, context_block, context_line, sentences
+from ..operators import catalog as books
+from ..operators import chunking, cluster, conversation, hierarchy, search, vector
+from ..operators.predicates import ContextFilters, apply_filters
+from ..providers import hashed_embedding, keep_text
+from ..sources import readers, writers
+from . import tables as t
+from .ask import Library, retrieve
+
+WORDS = "that the and of by"
+NEAR = "the of the with"
+TYPOS = "tthat wiith andd"
+QUOTED = '"of the" "and the" "in the"'
+RUN = "the and of with"
+QUERY_VECTOR = 7
+EMPTY = "zzqx wiith"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("chunk_key", "book_number", "chapter_number", F.round("score", 6).alias("score"), "match_type", F.array_join(F.array_sort("matched"), ",").alias("matched"))
+
+
+def _tokens(expr: str = "text") -> str:
+    return rf"list_filter(string_split_regex(lower({expr}), '\s+'), lambda x: x <> '')"
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _exact_sql(words: str, source: str = "keyed") -> str:
+    kws = search.keywords(words)
+    return f"""SELECT chunk_key, book_number, chapter_number, list_sort(list_intersect({_sql_list(kws)}, list_distinct({_tokens()}))) AS hit, len(list_intersect({_sql_list(kws)}, list_distinct({_tokens()}))) / {len(kws)}.0::DOUBLE AS score FROM {source}"""
+
+
+def _fuzzy_sql(words: str, source: str) -> str:
+    kws = search.keywords(words)
+    hit = lambda w: f"len(list_filter(list_distinct({_tokens()}), lambda x: abs(length(x) - {len(w)}) * 5 <= greatest(length(x), {len(w)}) AND levenshtein(x, '{w}') * 5 <= greatest(length(x), {len(w)}))) > 0"
+    flags = ", ".join(f"{hit(w)} AS h{i}" for i, w in enumerate(kws))
+    total = " + ".join(f"h{i}::INT" for i in range(len(kws)))
+    names = ", ".join(f"CASE WHEN h{i} THEN '{w}' END" for i, w in enumerate(kws))
+    return f"""SELECT chunk_key, book_number, chapter_number, array_to_string(list_sort(list_filter([{names}], lambda x: x IS NOT NULL)), ',') AS matched, ({total}) / {len(kws)}.0::DOUBLE AS score FROM (SELECT *, {flags} FROM {source})"""
+
+
+def _top(body: str, kind: str, matched: str, ctes: str = t.CHUNKS) -> str:
+    return f"WITH {ctes}, scored AS ({body}) SELECT chunk_key, book_number, chapter_number, round(score, 6) AS score, '{kind}' AS match_type, {matched} AS matched FROM scored WHERE score > 0.25 ORDER BY score DESC, chunk_key LIMIT 20"
+
+
+@query("exact_search", _top(_exact_sql(WORDS), "exact", "array_to_string(hit, ',')"))
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(t.chunks(spark, sf_dir), WORDS))
+
+
+def _phrase_sql(text: str) -> str:
+    wanted = search.phrases(text)
+    total = " + ".join(f"contains(lower(text), '{p}')::INT" for p in wanted)
+    names = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{p}' END" for p in wanted)
+    return _top(f"SELECT *, list_sort(list_filter([{names}], lambda x: x IS NOT NULL)) AS hit, ({total}) / {len(wanted)}.0::DOUBLE AS score FROM keyed", "phrase", "array_to_string(hit, ',')")
+
+
+@query("phrase_search_quoted", _phrase_sql(QUOTED))
+def phrase_search_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(t.chunks(spark, sf_dir), QUOTED, "phrase"))
+
+
+@query("phrase_search_unquoted", _phrase_sql(RUN))
+def phrase_search_unquoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(t.chunks(spark, sf_dir), RUN, "phrase"))
+
+
+@query(
+    "proximity_search",
+    f"""WITH {t.CHUNKS}, tok AS (SELECT chunk_key, {_tokens()} AS w FROM keyed), long AS (SELECT * FROM tok WHERE len(w) >= 50),
+    word AS (SELECT chunk_key, len(w) AS n, unnest(range(len(w))) AS p, unnest(w) AS x FROM long), hit AS (SELECT * FROM word WHERE x IN ('the', 'of', 'with')),
+    start AS (SELECT DISTINCT chunk_key, least(p, n - 50) AS s FROM hit),
+    part AS (SELECT a.chunk_key, a.s, max((x = 'the')::INT) * 2 + max((x = 'of')::INT) + max((x = 'with')::INT) AS c FROM start a JOIN hit h ON h.chunk_key = a.chunk_key AND h.p >= a.s AND h.p < a.s + 50 GROUP BY ALL),
+    best AS (SELECT chunk_key, max(c) / 4.0::DOUBLE AS score FROM part GROUP BY 1)
+    SELECT k.chunk_key, book_number, chapter_number, round(score, 6) AS score, 'proximity' AS match_type, '' AS matched FROM best JOIN keyed k USING (chunk_key) WHERE score > 0.25 ORDER BY score DESC, k.chunk_key LIMIT 20""",
+)
+def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.best_first(search.proximity(t.chunks(spark, sf_dir), NEAR)))
+
+
+ENGLISH = t.CHUNKS + ", english AS (SELECT * FROM keyed WHERE lang = 'en')"
+
+
+@query("fuzzy_search", _top(_fuzzy_sql(TYPOS, "english"), "fuzzy", "matched", ENGLISH))
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(t.chunks(spark, sf_dir).filter("lang = 'en'"), TYPOS, "fuzzy"))
+
+
+@query(
+    "search_fallback",
+    f"""WITH {ENGLISH}, prim AS ({_exact_sql(EMPTY, "english")}), first AS (SELECT chunk_key, book_number, chapter_number, score, 'exact' AS match_type, array_to_string(hit, ',') AS matched FROM prim WHERE score > 0.25),
+    spare AS (SELECT chunk_key, book_number, chapter_number, score, 'fuzzy' AS match_type, matched FROM ({_fuzzy_sql(EMPTY, "english")}) WHERE score > 0.25 AND NOT EXISTS (SELECT 1 FROM first))
+    SELECT chunk_key, book_number, chapter_number, round(score, 6) AS score, match_type, matched FROM (SELECT * FROM first UNION ALL SELECT * FROM spare) ORDER BY score DESC, chunk_key LIMIT 20""",
+)
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(t.chunks(spark, sf_dir).filter("lang = 'en'"), EMPTY))
+
+
+def _guarded(spark: SparkSession, sf_dir: str, f: ContextFilters) -> DataFrame:
+    return apply_filters(t.positioned(spark, sf_dir), f).select("chunk_key", "book_number", "chapter_number", "book_position")
+
+
+GUARD = f"WITH {t.POSITIONED} SELECT chunk_key, book_number, chapter_number, book_position FROM positioned WHERE "
+
+
+@query("guard_chapter", GUARD + "book_number < 4 OR (book_number = 4 AND chapter_number < 6)")
+def guard_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, ContextFilters(series_id=1, book_number=4, chapter_number=6))
+
+
+@query("guard_position", GUARD + "book_number < 3 OR (book_number = 3 AND book_position < 0.4)")
+def guard_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, ContextFilters(book_number=3, chapter_number=1, book_position=0.4))
+
+
+@query("specific_point", GUARD + "book_number = 5 AND book_position < 0.5")
+def specific_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, ContextFilters(book_number=5, book_position=0.5, specific_point=True))
+
+
+@query(
+    "flags_combo",
+    f"""WITH {t.TREE} SELECT 'summaries_only' AS flag, chunk_key, level FROM node WHERE is_summary
+    UNION ALL SELECT 'exclude_summaries', chunk_key, level FROM node WHERE NOT is_summary
+    UNION ALL SELECT 'top_level_only', chunk_key, level FROM node WHERE chunk_key NOT IN (SELECT child_key FROM edge)
+    UNION ALL SELECT 'level_2', chunk_key, level FROM node WHERE level = 2""",
+)
+def flags_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = t.label_tree(spark, sf_dir)
+    flags = {"summaries_only": {"summaries_only": True}, "exclude_summaries": {"exclude_summaries": True}, "top_level_only": {"top_level_only": True}, "level_2": {"level": 2}, "both": {"summaries_only": True, "exclude_summaries": True}}
+    parts = [apply_filters(nodes, ContextFilters(series_id=1, **f), edges).select(F.lit(name).alias("flag"), "chunk_key", "level") for name, f in flags.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("chunk_keys", f"WITH {t.CHUNKS} SELECT doc_id, chunk_key, true AS complete FROM keyed")
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.chunks(spark, sf_dir).select("doc_id", "chunk_key", complete_key(F.col("chunk_key")).alias("complete"))
+
+
+@query("context_format", f"WITH {t.CHUNKS} SELECT chunk_key, format('Book {{}}, Chapter {{}}: {{}}', book_number, chapter_number, text) AS line, concat('\"\"\"', chr(10), text, '\"\"\"') AS block FROM keyed")
+def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.chunks(spark, sf_dir).select("chunk_key", context_line(F.col("book_number"), F.col("chapter_number"), F.col("text")).alias("line"), context_block(F.array("text")).alias("block"))
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(t.vectors(spark, sf_dir).filter(F.col("vec_id") == QUERY_VECTOR).first()["embedding"])
+
+
+DIST = f"list_sum(list_transform(list_zip(x.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
+NEAREST = f"x.embedding IS NOT NULL AND q.vec_id = {QUERY_VECTOR}"
+
+
+@query("similarity_topk", f"SELECT x.vec_id, round({DIST}, 6) AS distance FROM embeddings x, embeddings q WHERE {NEAREST} ORDER BY {DIST}, x.vec_id LIMIT 10")
+def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.similar(t.vectors(spark, sf_dir), _query_vector(spark, sf_dir), key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return t.chunks(spark, sf_dir).join(v, "doc_id", "left")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guarded = apply_filters(_with_vectors(spark, sf_dir), ContextFilters(book_number=8, chapter_number=3))
+    return vector.similar(guarded, _query_vector(spark, sf_dir))
+
+
+FILTERED = f"WITH {t.CHUNKS}, top AS (SELECT k.chunk_key, book_number, chapter_number, {DIST} AS d FROM keyed k JOIN embeddings x ON x.vec_id = k.doc_id, embeddings q WHERE {NEAREST} AND (book_number < 8 OR (book_number = 8 AND chapter_number < 3)) ORDER BY d, chunk_key LIMIT 10) SELECT chunk_key, book_number, chapter_number, round(d, 6) AS distance FROM top"
+
+
+@query("similarity_topk_filtered", FILTERED)
+def similarity_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).select("chunk_key", "book_number", "chapter_number", F.round("distance", 6).alias("distance"))
+
+
+@query("similarity_chronological", FILTERED + " ORDER BY book_number, chapter_number, chunk_key")
+def similarity_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.chronological(similarity_topk_filtered(spark, sf_dir))
+
+
+@query("similarity_reverse", FILTERED + " ORDER BY book_number DESC, chapter_number DESC, chunk_key")
+def similarity_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.chronological(similarity_topk_filtered(spark, sf_dir), reverse=True)
+
+
+@query("build_edges", f"WITH {t.TREE} SELECT child_key, parent_key, level FROM edge WHERE level = 2")
+def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.vectors(spark, sf_dir)
+    members = rows.select(F.concat(F.lit("series_1|book_1|chapter_0|level_1|chunk_"), "vec_id").alias("chunk_key"), F.col("label").alias("cluster"))
+    summaries = members.select("cluster").distinct().select("cluster", F.concat(F.lit("series_1|book_1|chapter_0|level_2|chunk_"), "cluster").alias("chunk_key"), F.lit(2).alias("level"))
+    return hierarchy.edges_from_labels(members, summaries, ["cluster"])
+
+
+@query("top_level_only", f"WITH {t.TREE} SELECT chunk_key, level FROM node WHERE chunk_key NOT IN (SELECT child_key FROM edge)")
+def top_level_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = t.label_tree(spark, sf_dir)
+    return hierarchy.roots(nodes, edges).select("chunk_key", "level")
+
+
+def _start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = t.label_tree(spark, sf_dir)
+    return nodes.filter("chunk_key LIKE '%level_3|chunk_1'"), edges
+
+
+DESCENT = t.TREE.replace("node AS", "RECURSIVE node AS", 1) + ", reached(chunk_key) AS (SELECT chunk_key FROM node WHERE chunk_key LIKE '%level_3|chunk_1' UNION ALL SELECT e.child_key FROM reached r JOIN edge e ON e.parent_key = r.chunk_key)"
+
+
+@query("descend_from_parents", f"WITH {DESCENT} SELECT DISTINCT chunk_key FROM reached")
+def descend_from_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descend(*_start(spark, sf_dir))
+
+
+@query("leaves_only", f"WITH {DESCENT} SELECT DISTINCT chunk_key FROM reached WHERE chunk_key NOT IN (SELECT parent_key FROM edge)")
+def leaves_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descend(*_start(spark, sf_dir), leaves_only=True)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label")
+    return hierarchy.cluster_summaries(t.positioned(spark, sf_dir).join(v, "doc_id"), ["label"])
+
+
+CLUSTERED = f"WITH {t.POSITIONED}, member AS (SELECT p.*, label FROM positioned p JOIN embeddings e ON e.vec_id = p.doc_id) "
+
+
+@query("cluster_position_mean", CLUSTERED + "SELECT label, round(avg(book_position), 4) AS book_position, count(*) AS members FROM member GROUP BY label")
+def cluster_position_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).select("label", "book_position", "members")
+
+
+@query("cluster_concat", CLUSTERED + "SELECT label, string_agg(text, '------' || chr(10) || '------' ORDER BY chunk_key) AS text FROM member GROUP BY label")
+def cluster_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).select("label", "text")
+
+
+@query("book_position", f"WITH {t.POSITIONED} SELECT chunk_key, book_position FROM positioned")
+def book_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.positioned(spark, sf_dir).select("chunk_key", "book_position")
+
+
+def _small_book(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit("01_small.txt").alias("book_filename"), F.lit(1).alias("book_number"), F.lit(t.BOOK).alias("text"))
+
+
+@query("chapter_parse")
+def chapter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chapters(chunking.lines(_small_book(spark)))
+
+
+SENTENCES = r"list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(
+    "sentence_context",
+    f"WITH s AS (SELECT doc_id, {SENTENCES} AS a FROM documents), e AS (SELECT doc_id, unnest(range(len(a))) AS position, a FROM s) SELECT doc_id, position::INTEGER AS position, array_to_string(a[greatest(position, 1):position + 2], ' ') AS context FROM e",
+)
+def sentence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_context(F.col("text"))).alias("position", "context"))
+
+
+COS = "1 - list_inner_product(embedding::DOUBLE[], nxt::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(nxt::DOUBLE[], nxt::DOUBLE[])))"
+ADJACENT = f"adj AS (SELECT label, vec_id, CASE WHEN nxt IS NOT NULL THEN {COS} END AS distance FROM (SELECT *, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings)), cut AS (SELECT label, quantile_cont(distance, 0.95) AS cut FROM adj GROUP BY label)"
+
+
+@query("adjacent_distance", f"WITH {ADJACENT} SELECT label, vec_id, round(distance, 6) AS distance FROM adj")
+def adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.adjacent_distance(t.vectors(spark, sf_dir), ["label"], "vec_id").select("label", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("breakpoints_p95", f"WITH {ADJACENT} SELECT label, round(cut, 6) AS cut FROM cut")
+def breakpoints_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = chunking.adjacent_distance(t.vectors(spark, sf_dir), ["label"], "vec_id")
+    return chunking.breakpoints(measured, ["label"]).select("label", F.round("cut", 6).alias("cut"))
+
+
+@query("segment_chunks", f"WITH {ADJACENT} SELECT a.label, vec_id, coalesce(sum((distance > cut)::INT) OVER (PARTITION BY a.label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS segment FROM adj a JOIN cut c ON c.label = a.label")
+def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.segments(t.vectors(spark, sf_dir), ["label"], "vec_id").select("label", "vec_id", "segment")
+
+
+@query("sentence_pack")
+def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("chunk_index", "text"))
+
+
+@query("merge_small")
+def merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t.vectors(spark, sf_dir)
+    rows = t.documents(spark, sf_dir).join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("label", "doc_id", F.element_at(sentences(F.col("text")), 1).alias("text"), "embedding")
+    numbered = rows.withColumn("segment", hierarchy.next_index(["label"], ["doc_id"])).select("label", "segment", "text", F.col("embedding").cast("array<double>").alias("embedding"))
+    return chunking.merge_small(numbered, ["label"]).select("label", "segment", "text")
+
+
+@query("two_phase_clusters")
+def two_phase_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(t.vectors(spark, sf_dir), ["label"], key="vec_id", most=8)
+
+
+@query("turn_sequence", f"WITH {t.TURNS} SELECT * FROM turns")
+def turn_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.turns(t.messages(spark, sf_dir))
+
+
+@query("history_first3", f"WITH {t.TURNS} SELECT conversation_id, sequence, 0 AS part, 'user' AS role, question AS content FROM turns WHERE sequence < 3 UNION ALL SELECT conversation_id, sequence, 1, 'assistant', response FROM turns WHERE sequence < 3")
+def history_first3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.history(conversation.turns(t.messages(spark, sf_dir)))
+
+
+@query("conversation_expiry", "SELECT user_id, count(*) AS writes, floor(epoch(max(ts)))::BIGINT + 3600 AS expires_epoch, floor(epoch(max(ts)))::BIGINT + 3600 > 1706530000 AS live FROM events GROUP BY user_id")
+def conversation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = conversation.expiry(events, F.timestamp_seconds(F.lit(1706530000)), conversation="user_id")
+    return out.select("user_id", "writes", F.unix_seconds("expires_at").alias("expires_epoch"), "live")
+
+
+@query("token_cost", f"WITH {t.TURNS}, s AS (SELECT conversation_id, sum(length(response)) AS c, sum(length(question)) AS p FROM turns GROUP BY 1) SELECT conversation_id, c::BIGINT AS completion_tokens, p::BIGINT AS prompt_tokens, round(p / 1e6 * 0.15 + c / 1e6 * 0.60, 8) AS dollars FROM s")
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = conversation.turns(t.messages(spark, sf_dir)).groupBy("conversation_id").agg(F.sum(F.length("response")).alias("completion_tokens"), F.sum(F.length("question")).alias("prompt_tokens"))
+    return sums.withColumn("dollars", F.round(conversation.cost(F.col("completion_tokens"), F.col("prompt_tokens")), 8))
+
+
+SERIES_VALUES = ", ".join(f"({s['series_id']}, '{s['series_name']}', '{s['series_metadata_name']}', {b['number_in_series']}, '{b['title']}', {b['number_of_chapters']})" for s in t.SERIES_ROWS for b in s["books"])
+
+
+@query("series_catalog", f"SELECT * FROM (VALUES {SERIES_VALUES}) v(series_id, series_name, series_metadata_name, number_in_series, title, number_of_chapters)")
+def series_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.books(readers.read_series(spark, t.SERIES_ROWS)).select("series_id", "series_name", "series_metadata_name", "number_in_series", "title", "number_of_chapters")
+
+
+@query("character_lookup", "SELECT * FROM (VALUES ('THE PILOT', 'c1', 'Ilse Marrow'), ('tob', 'c2', 'Tobin'), ('Dame Orrel', 'c3', 'Dame Orrel')) v(asked, character_id, found)")
+def character_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(t.CHARACTER_ROWS, "character_id string, name string, aliases array<string>")
+    names = spark.createDataFrame([("THE PILOT",), ("tob",), ("Dame Orrel",), ("nobody",)], "name string")
+    return books.find_characters(known, names)
+
+
+@query("upsert_new_only", f"WITH {t.CHUNKS} SELECT chunk_key, lower(text) AS document, text AS full_chunk FROM keyed WHERE doc_id % 2 = 1")
+def upsert_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk is offered where those of even ids are there already."""
+    rows = t.chunks(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    offered = writers.normalised(rows.withColumns({"chunk_key": F.regexp_replace("chunk_key", r"^series_1\|", ""), "parents": none, "children": none}), 1)
+    return writers.only_new(offered, rows.filter("doc_id % 2 = 0")).select("chunk_key", "document", "full_chunk")
+
+
+@query("quality_matrix", f"WITH {t.CHUNKS} SELECT lang AS question, min(chapter_number) FILTER (book_number = 1) AS book_1, min(chapter_number) FILTER (book_number = 2) AS book_2, min(chapter_number) FILTER (book_number = 3) AS book_3 FROM keyed WHERE book_number IN (1, 2, 3) GROUP BY lang")
+def quality_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.chunks(spark, sf_dir).select(F.col("lang").alias("question"), "book_number", F.col("chapter_number").alias("answer"), F.col("chapter_number").alias("chunk_key"))
+    return writers.quality_matrix(rows, [1, 2, 3])
+
+
+@query("score_gate", f"WITH {t.CHUNKS} SELECT chunk_key, doc_id % 10 AS score FROM keyed WHERE doc_id % 10 >= 6")
+def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.chunks(spark, sf_dir).withColumn("score", F.col("doc_id") % 10)
+    return rows.filter((F.col("score") >= 6) & complete_key(F.col("chunk_key"))).select("chunk_key", "score")
+
+
+@query("keyword_retrieval", f"WITH {t.CHUNKS} SELECT chunk_key FROM keyed WHERE len(list_intersect(['the', 'with', 'from'], list_distinct({_tokens()}))) = 3")
+def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.all_keywords(t.chunks(spark, sf_dir), ["the", "with", "from"]).select("chunk_key")
+
+
+def library(spark: SparkSession, sf_dir: str) -> Library:
+    """The documents as a library whose summaries are those of the vectors' labels."""
+    level_1 = t.chunks(spark, sf_dir).join(t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
+    level_1 = level_1.withColumn("embedding", hashed_embedding()(F.col("text")))
+    made = level_1.filter("label IS NOT NULL").groupBy("label").agg(F.min_by("text", "doc_id").alias("text"), F.min("book_number").alias("book_number"))
+    level_2 = made.select(F.lit(1).alias("series_id"), "book_number", F.lit(0).alias("chapter_number"), F.lit(2).alias("level"), F.col("label").alias("chunk_index"), keep_text(F.col("text")).alias("text"), F.lit(True).alias("is_summary"), "label", F.concat_ws("|", F.lit("series_1"), F.concat(F.lit("book_"), "book_number"), F.lit("chapter_0"), F.lit("level_2"), F.concat(F.lit("chunk_"), "label")).alias("chunk_key"))
+    edges = hierarchy.edges_from_labels(level_1.filter("label IS NOT NULL").select("chunk_key", "label"), level_2, ["label"])
+    columns = ["chunk_key", "series_id", "book_number", "chapter_number", "level", "text", "is_summary"]
+    return Library(level_1.select(*columns, "embedding").unionByName(level_2.withColumn("embedding", hashed_embedding()(F.col("text"))).select(*columns, "embedding")), edges)
+
+
+@query("ask")
+def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve(library(spark, sf_dir), "Give me an overview of that the and", ContextFilters(series_id=1, book_number=6, chapter_number=4), enforce_guard=True)

@@ -58,7 +58,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold ``max_bytes`` or are one row."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()

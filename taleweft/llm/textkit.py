@@ -38,7 +38,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i below n."""
     global _powers
     if len(_powers[0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             _powers = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, b)])) for b in (BASE, INVERSE))
     return _powers[0][:n], _powers[1][:n]

@@ -34,7 +34,7 @@ from .components import components
 from .decontaminate import Lookup
 from .textkit import grams, mix, words
 
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 STEP = 0.05
 
 

@@ -249,7 +249,7 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLUSTERED = f"WITH {t.POSITIONED}, member AS (SELECT p.*, label FROM positioned p JOIN embeddings e ON e.vec_id = p.doc_id) "
 
 
-@query("cluster_position_mean", CLUSTERED + "SELECT label, round(avg(book_position), 4) AS book_position, count(*) AS members FROM member GROUP BY label")
+@query("cluster_position_mean", CLUSTERED + "SELECT label, ((2 * sum(round(book_position * 10000)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS book_position, count(*) AS members FROM member GROUP BY label")
 def cluster_position_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).select("label", "book_position", "members")
 

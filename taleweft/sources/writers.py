@@ -47,7 +47,8 @@ def write_chunk_tree(chunks: DataFrame, path: str, compress: bool = True) -> Non
     meta = F.struct(*[c for c in ("series_id", "book_number", "chapter_number", "level", "chunk_index", "book_position", "book_filename", "full_chunk", "is_summary") if c in chunks.columns])
     keyed = chunks.withColumn("metadata", meta)
     node = F.struct(*[c for c in fields if c in keyed.columns])
-    ordered = lambda name: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("__n", name, "__v"))), lambda x: F.struct(x[name], x["__v"])))
+    by_number = lambda a, b: F.when(a["__n"] < b["__n"], -1).when(a["__n"] > b["__n"], 1).otherwise(0)  # noqa: E731  maps have no order
+    ordered = lambda name: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("__n", name, "__v")), by_number), lambda x: F.struct(x[name], x["__v"])))
     per_level = keyed.groupBy("book_filename", "book_number", "chapter_number", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", node.alias("n")))), lambda x: x["n"]).alias("__v"))
     per_level = per_level.withColumns({"level_name": F.concat(F.lit("level_"), "level"), "__n": F.col("level")})
     per_chapter = per_level.groupBy("book_filename", "book_number", "chapter_number").agg(ordered("level_name").alias("__v"), F.bool_or(F.col("level") == 1).alias("__one"))

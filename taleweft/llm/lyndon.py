@@ -37,45 +37,73 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
     prev = [-1] * n
     hi = n - 1
     while hi > 0:
-        lo = group[sa[hi]]
-        # previous-smaller pointers: the nearest suffix before, in a lower group
-        follows: dict[int, int] = {}
-        members = sa[lo : hi + 1]
-        if hi > lo:
-            members.sort()
-        for i in members:
+        i = sa[hi]
+        lo = group[i]
+        if lo == hi:  # most groups are one suffix
             p = i - 1
-            while p >= 0 and group[p] >= lo:
+            while p >= 0 and group[p] > lo:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
-                follows[p] = follows.get(p, 0) + 1
-        if follows:
-            if len(follows) == len(members) or max(follows.values()) == 1:
-                classes = [follows]
-            else:
-                by: dict[int, list[int]] = {}
-                for p, c in follows.items():
-                    by.setdefault(c, []).append(p)
-                classes = [by[c] for c in sorted(by, reverse=True)]
-            for found in classes:
-                cut: dict[int, int] = {}
-                for p in found:  # to the end of its group
-                    g = group[p]
-                    z = size[g] - 1
+                g = group[p]
+                z = size[g] - 1
+                if z:
                     size[g] = z
                     last = g + z
                     q = sa[last]
+                    if q != p:
+                        a = place[p]
+                        sa[a] = q
+                        place[q] = a
+                        sa[last] = p
+                        place[p] = last
+                    group[p] = last
+                    size[last] = 1
+            hi -= 1
+            continue
+        # previous-smaller pointers: the nearest suffix before, in a lower group
+        follows: dict[int, int] = {}
+        once = True
+        for i in sorted(sa[lo : hi + 1]):
+            p = i - 1
+            while p >= 0 and group[p] >= lo:
+                p = prev[p]
+            prev[i] = p
+            if p >= 0:
+                if p in follows:
+                    follows[p] += 1
+                    once = False
+                else:
+                    follows[p] = 1
+        if once:
+            classes = [follows] if follows else []
+        else:
+            by: dict[int, list[int]] = {}
+            for p, c in follows.items():
+                by.setdefault(c, []).append(p)
+            classes = [by[c] for c in sorted(by, reverse=True)]
+        for found in classes:
+            moved = []
+            for p in found:  # to the end of its group
+                g = group[p]
+                z = size[g] - 1
+                size[g] = z
+                last = g + z
+                q = sa[last]
+                if q != p:
                     a = place[p]
                     sa[a] = q
                     place[q] = a
                     sa[last] = p
                     place[p] = last
-                    cut[g] = last
-                for p in found:  # what went there is a group of its own
-                    g = cut[group[p]]
-                    group[p] = g
-                    size[g] += 1
+                moved.append(g)
+            for p, g in zip(found, moved):  # what went there is a group of its own, above what stayed
+                top = g + size[g]
+                group[p] = top
+            for p in found:
+                size[group[p]] = 0
+            for p in found:
+                size[group[p]] += 1
         hi = lo - 1
     # emission: suffixes that end their Lyndon prefix at the next suffix in order
     front = list(range(n))

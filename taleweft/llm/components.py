@@ -21,6 +21,12 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one root."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up")))
+    return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node with an edge; a component is named by its smallest id.
 
@@ -28,12 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     a node of any degree is combined before the shuffle.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-        now = stored(_small(_large(now).distinct()).distinct())
+    while not _settled(now):
+        now = stored(_small(_large(now)).distinct())
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

@@ -72,3 +72,13 @@ def quality_matrix(answers: DataFrame, books: list[int]) -> DataFrame:
     """A row per question, a column per book: the first answer in order of ``chunk_key``."""
     cells = [F.min_by(F.when(F.col("book_number") == b, F.col("answer")), F.when(F.col("book_number") == b, F.col("chunk_key"))).alias(f"book_{b}") for b in books]
     return answers.filter(reduce(or_, [F.col("book_number") == b for b in books], F.lit(False))).groupBy("question").agg(*cells)
+
+
+def matrix_html(rows: list[dict], title: str = "Answers by book") -> str:
+    """A page with a row per question and a column per book, of a matrix small enough to read."""
+    from html import escape
+
+    heads = list(rows[0]) if rows else ["question"]
+    cell = lambda tag, x: f"<{tag}>{escape('' if x is None else str(x))}</{tag}>"
+    lines = ["<tr>" + "".join(cell("th", h) for h in heads) + "</tr>", *("<tr>" + "".join(cell("td", r[h]) for h in heads) + "</tr>" for r in rows)]
+    return f"<!DOCTYPE html><title>{escape(title)}</title><table>" + "".join(lines) + "</table>"

@@ -9,7 +9,8 @@ from taleweft.operators import catalog, chunking, conversation, hierarchy
 from taleweft.operators.predicates import ContextFilters, apply_filters, before_chapter, predicate
 from taleweft.plans import tables as t
 from taleweft.plans.ask import NO_ANSWER, Library, ask
-from taleweft.sources import readers, writers
+from taleweft.plans.ingest import ingest, semantic_chunks, store
+from taleweft.sources import config, readers, writers
 from taleweft.streaming.sessions import lifetimes
 
 
@@ -208,9 +209,52 @@ def test_lifetimes_on_table_and_stream(spark, tmp_path):
 def test_ask_answers_or_says_so(spark):
     chunks = spark.createDataFrame([("series_1|book_1|chapter_0|level_1|chunk_0", 1, 1, 0, 1, False, "the lighthouse was dark", providers.embed_query("the lighthouse was dark"))], "chunk_key string, series_id int, book_number int, chapter_number int, level int, is_summary boolean, text string, embedding array<double>")
     library = Library(chunks, spark.createDataFrame([], "child_key string, parent_key string, level int"))
-    answer, contexts = ask(library, "was the lighthouse dark", ContextFilters(series_id=1, book_number=2, chapter_number=0))
-    assert answer == "Book 1, Chapter 0: the lighthouse was dark" and contexts.count() == 1
-    assert ask(library, "lighthouse", ContextFilters(series_id=1, book_number=1, chapter_number=0))[0] == NO_ANSWER
+    got = ask(library, "was the lighthouse dark", ContextFilters(series_id=1, book_number=2, chapter_number=0))
+    assert got.text == "Book 1, Chapter 0: the lighthouse was dark" and got.has_answer and got.contexts.count() == 1
+    none = ask(library, "lighthouse", ContextFilters(series_id=1, book_number=1, chapter_number=0))
+    assert (none.text, none.has_answer, none.needs_clarification) == (NO_ANSWER, False, False)
+
+    class Asks(providers.LocalDecisions):
+        def clarify(self, question):
+            return "Which lighthouse?"
+
+    asked = ask(library, "lighthouse", ContextFilters(series_id=1, book_number=1, chapter_number=0), Asks())
+    assert asked.needs_clarification and asked.text == NO_ANSWER + "\n\n\nWhich lighthouse?"
+
+
+def test_ingest_and_store(spark, tmp_path):
+    words = "The tide came in. The lamp was lit. Nobody spoke of the harbour. "
+    (tmp_path / "03_b.txt").write_text("Before.\nCHAPTER 1\n" + words * 40)
+    done = ingest(spark, str(tmp_path / "03_b.txt"), 5, size=200, overlap=20, dim=3, most=3)
+    rows = {r["chunk_key"]: r for r in done.chunks.collect()}
+    assert "series_5|book_3|chapter_1|level_1|chunk_0" in rows and any(r["level"] == 2 and r["is_summary"] for r in rows.values())
+    assert all(k in rows for r in rows.values() for k in [*r["parents"], *r["children"]])
+    store(done, 5, str(tmp_path / "store")), store(done, 5, str(tmp_path / "store"))
+    kept = spark.read.parquet(str(tmp_path / "store"))
+    assert kept.count() == len(rows) and kept.filter("document <> lower(full_chunk)").count() == 0
+
+
+def test_semantic_chunks_cut_where_topics_change(spark):
+    rows = [(1, i, f"s{i}. a. b. c", [1.0, 0.01 * i] if i < 6 else [0.0, 1.0]) for i in range(12)]
+    out = semantic_chunks(spark.createDataFrame(rows, "chapter int, i int, text string, embedding array<float>"), ["chapter"], "i")
+    assert [r["text"].split(".")[0] for r in out.orderBy("segment").collect()] == ["s0", "s6"]
+
+
+def test_settings(tmp_path):
+    (tmp_path / "p.json").write_text('{"greet": [{"role": "system", "prompt": "hi"}]}')
+    (tmp_path / "s.json").write_text("[]")
+    values = {k: 1 for k in config.REQUIRED} | {"PROMPTS_PATH": str(tmp_path / "p.json"), "SERIES_PATH": str(tmp_path / "s.json"), "N_CHUNKS": 15}
+    got = config.Settings.of(values)
+    assert got.n_chunks == 15 and got.prompt("greet") == [{"role": "system", "content": "hi"}]
+    with pytest.raises(KeyError):
+        got.prompt("other")
+    assert config.Settings.of(values, sparse=True).prompts == {}
+    with pytest.raises(ValueError, match="N_CHUNKS, REDIS_URL"):
+        config.Settings.of({k: v for k, v in values.items() if k not in ("N_CHUNKS", "REDIS_URL")})
+
+
+def test_matrix_page():
+    assert "<td>a&lt;b</td><td></td>" in writers.matrix_html([{"question": "a<b", "book_1": None}])
 
 
 def test_hashed_embedding_is_the_same_on_both_sides(spark):

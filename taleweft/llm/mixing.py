@@ -8,6 +8,8 @@ all documents have the inclusion probability ``r - floor(r)``, and the cube meth
 these through the null space of the constraints (number of documents, number of words)
 until each is 0 or 1. The flight runs in blocks of documents, each of which leaves two
 undecided at most; those meet in ever fewer blocks, and only the last two of a source land.
+Of up to TRIES flights of that last block the one that lands nearest is taken, so a source of
+a few long documents is near its target too.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql.window import Window
 from .common import row_hash, stored, without
 
 EPS = 1e-9
+#: Flights of a source's last block; the one that lands nearest its words is taken.
+TRIES = 16
 
 
 def word_count(text) -> F.Column:
@@ -114,8 +118,17 @@ def _fly(seed: int, level: int, land: bool):
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__key")
         pdf = pdf.iloc[interleaved(pdf["__unit"].to_numpy())]
-        rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
-        return pdf.assign(__p=flight(pdf["__p"].to_numpy(), pdf["__unit"].to_numpy(), rng, land))
+        p, unit = pdf["__p"].to_numpy(), pdf["__unit"].to_numpy()
+        best = None
+        for turn in range(TRIES if land else 1):
+            rng = np.random.default_rng([seed, level, int(key[0]), int(key[1]), turn])
+            out = flight(p, unit, rng, land)
+            off = abs(float(((out - p) * unit).sum()))
+            if best is None or off < best[0]:
+                best = (off, out)
+            if off <= 1e-3 * float((p * unit).sum()):
+                break
+        return pdf.assign(__p=best[1])
 
     return run
 

@@ -9,31 +9,27 @@ front of what is left of its group. No names are given anew and nothing recurses
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(s: bytes | list[int]) -> list[int]:
     """Starts of the suffixes of ``s`` in lexicographic order, the empty one left out."""
     n = len(s) + 1  # a sentinel below all symbols ends the string
     if n == 1:
         return []
-    text = [x + 1 for x in s]
-    text.append(0)
-    # sa holds groups as ranges; group[i] is the start of suffix i's range, size[start] its length
-    start = [0] * (max(text) + 2)
-    for c in text:
-        start[c + 1] += 1
-    for c in range(1, len(start)):
-        start[c] += start[c - 1]
-    fill = start[:]
-    sa, place, group, size = [0] * n, [0] * n, [0] * n, [0] * n
-    for i, c in enumerate(text):
-        p = fill[c]
-        fill[c] = p + 1
-        sa[p] = i
-        place[i] = p
-        group[i] = start[c]
-    for c in range(len(start) - 1):
-        if start[c + 1] > start[c]:
-            size[start[c]] = start[c + 1] - start[c]
+    text = np.empty(n, np.int64)
+    text[:-1] = np.frombuffer(s, np.uint8) if isinstance(s, bytes) else s
+    text[-1] = -1
+    # sa holds groups as ranges; group[i] is the start of suffix i's range, size[start] its length.
+    # Index -1 is the sentinel, whose group is the lowest: the walks to the left end there.
+    order = np.argsort(text, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(text[order]) != 0]))
+    lengths = np.diff(np.concatenate([first, [n]]))
+    of, where, sizes = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    of[order] = np.repeat(first, lengths)
+    where[order] = np.arange(n)
+    sizes[first] = lengths
+    sa, place, group, size = order.tolist(), where.tolist(), of.tolist(), sizes.tolist()
     prev = [-1] * n
     hi = n - 1
     while hi > 0:
@@ -41,7 +37,7 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
         lo = group[i]
         if lo == hi:  # most groups are one suffix
             p = i - 1
-            while p >= 0 and group[p] > lo:
+            while group[p] > lo:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
@@ -66,7 +62,7 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
         once = True
         for i in sorted(sa[lo : hi + 1]):
             p = i - 1
-            while p >= 0 and group[p] >= lo:
+            while group[p] >= lo:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
@@ -113,7 +109,7 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
     done[n - 1] = True
     for k in range(n):
         p = out[k] - 1
-        while p >= 0 and not done[p]:
+        while not done[p]:
             g = group[p]
             out[front[g]] = p
             front[g] += 1

@@ -8,7 +8,7 @@ not compared one by one:
    is a row per anchor: where it is and which strings picked it. (Winnowing.)
 2. Rows meet by the anchor's hash, and in its order by a hash of their whole context, the
    bytes that their strings cover. Of rows with one context all but the first repeat it
-   whole. A context that is alone with its anchor repeats nothing.
+   whole; those of one batch are combined before the shuffle. A context that is alone with its anchor repeats nothing.
 3. What is left are different contexts of one anchor, where a copy begins, ends or was
    edited. Their bytes are fetched, and a suffix array of them, built by Lyndon grouping,
    brings equal strings next to each other; all but the first are repeats. Anchors with very
@@ -33,6 +33,8 @@ from .lyndon import suffix_array
 from .textkit import mix, powers
 
 PIECE = 1 << 22
+#: Windows that one row of repeats holds, but for its last anchor's.
+MERGED = 900
 PART = 512
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFF)
@@ -98,14 +100,39 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
             a = b
 
 
+def _settled_here(h: np.ndarray, c: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Combine before the shuffle: (rows that go on, repeats of a row here as doc, lo, hi).
+
+    The first of equal contexts goes on for all of them; neighbouring repeats become one.
+    """
+    order = np.lexsort((lo, doc, c, h))
+    head = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]) if len(h) else np.zeros(0, bool)
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    again = order[(doc[order] != doc[first]) | (lo[order] != lo[first])]
+    again = again[np.lexsort((lo[again], doc[again]))]
+    d, a, b = doc[again], lo[again], hi[again]
+    if not len(d):
+        return order[head], (d, a, b)
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > b[:-1] + 1)])
+    start = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    new[1:] |= (a - start)[1:] // MERGED != (a - start)[:-1] // MERGED
+    at = np.flatnonzero(new)
+    return order[head], (d[at], a[at], b[np.concatenate([at[1:], [len(d)]]) - 1])
+
+
 def _anchored(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, ids, starts, ends, shift in _pieces(batches, length):
             h, c, at, lo, hi = anchors(buf, starts, ends, length, gram)
             text = np.searchsorted(starts, lo, "right") - 1
-            place = lo - starts[text] + shift[text]
-            packed = (place << 20) | ((at - lo) << 10) | (hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[text]), pa.array(packed)], names=["h", "c", "doc", "at"])
+            move = shift[text] - starts[text]
+            doc, lo, hi, at = ids[text], lo + move, hi + move, at + move
+            on, (d, a, b) = _settled_here(h, c, doc, lo, hi)
+            with np.errstate(over="ignore"):
+                spread = mix(d.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64))  # repeats go anywhere
+            packed = np.concatenate([(lo[on] << 24) | ((at[on] - lo[on]) << 12) | (hi[on] - lo[on]), (a << 24) | (b - a)])
+            columns = [np.concatenate([h[on], spread]).view(np.int64), np.concatenate([c[on], np.zeros(len(d), np.uint64)]).view(np.int64), np.concatenate([doc[on], d]), packed, np.arange(len(packed)) >= len(on)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "doc", "at", "again"])
 
     return run
 
@@ -143,9 +170,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (out(rows[:, go], part[go], False) if go.any() else None), stay, left
 
     for batch in batches:
-        if not batch.num_rows:
+        h, c, doc, at, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if known.any():
+            yield out(np.stack([h, doc, at])[:, known], np.zeros(int(known.sum()), np.int64), True)
+            h, c, doc, at = (x[~known] for x in (h, c, doc, at))
+        if not len(h):
             continue
-        h, c, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         ph, pc, pd_, pt = (np.concatenate([[x[0] if last is None else last[k]], x[:-1]]) for k, x in enumerate((h, c, doc, at)))
         same = (h == ph) & (c == pc)
         if last is None:
@@ -176,7 +206,7 @@ def _contexts(length: int):
                 body, doc = batch.column("body")[i].as_py(), batch.column("doc")[i].as_py()
                 asked = batch.column("asked")[i].values
                 at = asked.field("at").to_numpy(zero_copy_only=False)
-                lo, n = at >> 20, (at & 1023) + length
+                lo, n = at >> 24, (at & 4095) + length
                 found = [body[a : a + m] for a, m in zip(lo.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([asked.field("h"), asked.field("part"), pa.array([doc] * len(lo), pa.int64()), pa.array(lo), pa.array(found, pa.binary())], names=["h", "part", "doc", "lo", "context"])
 
@@ -287,11 +317,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     bodies = kept.select(doc, body)
-    marked = bodies.mapInArrow(_anchored(length, gram), "h long, c long, doc long, at long")
+    marked = bodies.mapInArrow(_anchored(length, gram), "h long, c long, doc long, at long, again boolean")
     met = stored(marked.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_met, "h long, part long, doc long, at long"))
     release(spark)
-    lo = F.shiftright("at", 20)
-    whole = met.filter("part IS NULL").select("doc", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023))).alias("hi"))
+    lo = F.shiftright("at", 24)
+    whole = met.filter("part IS NULL").select("doc", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(4095))).alias("hi"))
     asked = met.filter("part IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("h", "part", "at")).alias("asked"))
     contexts = bodies.join(asked, "doc").select("doc", "body", "asked").mapInArrow(_contexts(length), "h long, part long, doc long, lo long, context binary")
     compared = stored(contexts.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "lo").mapInArrow(_sorted_out(length), "doc long, lo long, hi long, w1 long, w2 long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -39,21 +40,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes with the application.
 
-    Only where that setting is absent (tests, one machine) a local folder is set.
+    Only where that setting is absent (one machine, tests) the folder is below the local
+    temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/taleweft-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/taleweft-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/taleweft"
+    path = f"{base.rstrip('/')}/taleweft-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = work_dir(spark)
+    path = f"{work_dir(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -392,7 +392,7 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     level_1 = level_1.withColumn("embedding", hashed_embedding()(F.col("text")))
     made = level_1.filter("label IS NOT NULL").groupBy("label").agg(F.min_by("text", "doc_id").alias("text"), F.min("book_number").alias("book_number"))
     level_2 = made.select(F.lit(1).alias("series_id"), "book_number", F.lit(0).alias("chapter_number"), F.lit(2).alias("level"), F.col("label").alias("chunk_index"), keep_text(F.col("text")).alias("text"), F.lit(True).alias("is_summary"), "label", F.concat_ws("|", F.lit("series_1"), F.concat(F.lit("book_"), "book_number"), F.lit("chapter_0"), F.lit("level_2"), F.concat(F.lit("chunk_"), "label")).alias("chunk_key"))
-    edges = hierarchy.edges_from_labels(level_1.filter("label IS NOT NULL").select("chunk_key", "label"), level_2, ["label"])
+    edges = hierarchy.edges_from_labels(level_1.filter("label IS NOT NULL").select("chunk_key", "label"), level_2, ["label"]).persist()  # every level of a descent reads them
     columns = ["chunk_key", "series_id", "book_number", "chapter_number", "level", "text", "is_summary"]
     return Library(level_1.select(*columns, "embedding").unionByName(level_2.withColumn("embedding", hashed_embedding()(F.col("text"))).select(*columns, "embedding")), edges)
 

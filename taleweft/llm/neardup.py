@@ -1,11 +1,11 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 * Shingles are five words; a text of fewer words is one shingle. A shingle weighs its count
-  in the text times ``1 + ln((1 + N) / (1 + df))``, with df the documents that hold it, taken
-  as ``common * N`` at least. So only shingles of at least that share of all documents need a
-  count of their own: at most (mean distinct shingles) / common of them, whatever the corpus.
-  They are found without loss: such a shingle has that share in one part of the corpus at
-  least, so the parts' own frequent shingles are counted over all documents in a second pass.
+  in the text times ``1 + ln((1 + N) / (1 + df))``, with df the documents that hold it. Every
+  shingle is counted, over all documents: texts are packed into chunks, a chunk sends its
+  distinct shingles to the buckets of their hash, each bucket adds up its part of all chunks
+  and answers a chunk with the counts in the order it asked. Buckets and chunks are of bounded
+  size and grow in number, and no task or driver holds a table of all shingles.
 * Each distinct text gets ``bands * rows`` consistent weighted samples (Ioffe, 2010); texts
   that agree in all samples of a band are candidates, and candidates form components.
 * Components are verified by the weighted Jaccard similarity. Within one, pairs are compared
@@ -21,20 +21,23 @@ Equal texts are one text throughout; classes are connected by links (single link
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts_of
 from .components import components
-from .decontaminate import Lookup
 from .textkit import grams, mix, words
 
-SEGMENT = 1 << 20
+#: Bytes of text in a chunk (one document at least), and for each bucket of hashes.
+CHUNK = 1 << 21
+BUCKET = 12 << 20
 STEP = 0.05
 
 
@@ -56,72 +59,103 @@ def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
     return g[new], count, np.searchsorted(text[new], np.arange(len(texts) + 1))
 
 
-def _frequent(common: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        docs = size = 0
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: runs of zeros that compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-        def emit() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[c >= np.ceil(common * docs)].view(np.int64))], names=["h"])
 
-        for part in slices(batches, "__text"):
-            g, _, _ = shingles(texts_of(part, "__text"))
-            held.append(g)
-            docs, size = docs + part.num_rows, size + len(g)
-            if size >= SEGMENT:
-                yield emit()
-                held, docs, size = [], 0, 0
-        if held:
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows, each a compressed Arrow stream."""
+    at, n = TaskContext.get().partitionId() << 32, 0
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def emit() -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            for part in held:
+                stream.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([at + n]), pa.array([sum(x.num_rows for x in held)]), pa.array([size]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n", "size", "body"])
+
+    for part in slices(batches, "__text"):
+        held.append(part)
+        size += pa.compute.sum(pa.compute.binary_length(part.column("__text"))).as_py() or 0
+        if size >= CHUNK:
             yield emit()
+            held, size, n = [], 0, n + 1
+    if held:
+        yield emit()
 
-    return run
 
+def _unpacked(body: bytes) -> tuple[list[pa.RecordBatch], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    parts = list(pa.ipc.open_stream(body))
+    return parts, [shingles(texts_of(x, "__text")) for x in parts]
+
+
+def pack(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(chunks of the rows of ``texts`` with a column __text, rows, buckets)."""
+    chunks = stored(texts.mapInArrow(_packed, "chunk long, n long, size long, body binary"))
+    rows, size = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return chunks, rows, max(1, -(-size // BUCKET))
+
+
+def _asking(buckets: int):
+    """For each chunk and bucket the distinct shingles (as differences) and how many rows of the chunk hold each."""
 
-def _counting(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = sent.value
-        df = np.zeros(len(lookup.keys), np.int64)
-        for part in slices(batches, "__text"):
-            _, k = lookup.find(shingles(texts_of(part, "__text"))[0])
-            df += np.bincount(k, minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[some].view(np.int64)), pa.array(df[some])], names=["h", "df"])
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+                h, count = np.unique(np.concatenate([g for g, _, _ in _unpacked(body.as_py())[1]]), return_counts=True)
+                of = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cut = np.flatnonzero(np.diff(of)) + 1
+                pairs = [(x, c) for x, c in zip(np.split(h, cut), np.split(count.astype(np.uint32), cut), strict=True) if len(x)]
+                asked = [_planes(np.concatenate([x[:1], np.diff(x)])) for x, _ in pairs]
+                names = of[np.concatenate([[0], cut])].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([chunk] * len(pairs), pa.int64()), pa.array(asked, pa.binary()), pa.array([_planes(c) for _, c in pairs], pa.binary())], names=["bucket", "chunk", "h", "n"])
 
     return run
 
 
-def common_shingles(texts: DataFrame, total: int, common: float, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _sums(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles each chunk asks for, distinct shingles, place of each asked one there, df)."""
+    asked = [np.cumsum(_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("h")]
+    h, at = np.unique(np.concatenate(asked), return_inverse=True)
+    df = np.bincount(at, weights=np.concatenate([_numbers(x.as_py(), np.uint32) for x in table.column("n")]))
+    return [len(x) for x in asked], h, at, df.astype(np.int64)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    sizes, _, at, df = _sums(table)
+    found = np.split(df.astype(np.uint32)[at], np.cumsum(sizes)[:-1])
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([_planes(x) for x in found], pa.binary())})
+
+
+def _least(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        _, h, _, df = _sums(table)
+        return pa.table({"h": h[df >= least].view(np.int64), "df": df[df >= least]})
+
+    return run
+
+
+def common_shingles(texts: DataFrame, total: int, common: float) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least ``common * total`` rows of ``texts`` (column __text) and their counts, by hash."""
-    spark = texts.sparkSession
-    found = stored(texts.mapInArrow(_frequent(common), "h long").distinct())
-    n = found.count()
-    blocks = max(1, -(-n // block))
-    kept: list[tuple[int, int]] = []
-    for b in range(blocks):
-        rows = found.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).collect()
-        if rows:
-            sent = spark.sparkContext.broadcast(Lookup.of(np.array([r[0] for r in rows], np.int64).view(np.uint64)))
-            counted = texts.mapInArrow(_counting(sent), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-            kept += [(r[0], r[1]) for r in counted.filter(F.col("df") >= common * total).collect()]
-    h = np.array([x for x, _ in kept], np.int64).view(np.uint64)
+    chunks, _, buckets = pack(texts)
+    asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
+    kept = asked.groupBy("bucket").applyInArrow(_least(common * total), "h long, df long").collect()
+    h = np.array([r[0] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([x for _, x in kept], np.int64)[order]
+    return h[order], np.array([r[1] for r in kept], np.int64)[order]
 
 
-class Weights:
+def weights(count: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
     """TF-IDF weights of shingles."""
-
-    def __init__(self, h: np.ndarray, df: np.ndarray, total: int, common: float):
-        self.lookup = Lookup.of(h)
-        self.rare = float(1 + np.log((1 + total) / (1 + common * total)))
-        self.idf = 1 + np.log((1 + total) / (1 + df.astype(float)))
-
-    def of(self, g: np.ndarray, count: np.ndarray) -> np.ndarray:
-        idf = np.full(len(g), self.rare)
-        at, k = self.lookup.find(g)
-        idf[at] = self.idf[k]
-        return idf * count
+    return count * (1 + np.log((1 + total) / (1 + df.astype(float))))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,29 +191,39 @@ def samples(g: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int) -> np.
     return out
 
 
-def _sketch(sent, bands: int, rows: int):
+def _sketch(total: int, bands: int, rows: int):
+    def sketch(part: pa.RecordBatch, g: np.ndarray, count: np.ndarray, first: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        keys: list[list[int]] = [[]] * part.num_rows
+        if len(g):
+            s = samples(g, weights(count, df, total), first, bands * rows)
+            with np.errstate(over="ignore"):
+                b = np.zeros((len(s), bands), np.uint64)
+                for j in range(rows):
+                    b = mix(b * np.uint64(31) + s[:, j::rows] + np.arange(bands, dtype=np.uint64))
+            for i, row in zip(np.flatnonzero(np.diff(first)).tolist(), b.view(np.int64).tolist(), strict=True):
+                keys[i] = row
+        own = [zlib.compress(_planes(df[a:b]), 1) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([part.column("__id"), part.column("__h1"), part.column("__h2"), pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.binary())], names=["__id", "__h1", "__h2", "bands", "df"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            g, count, first = shingles(texts_of(part, "__text"))
-            keys: list[list[int]] = [[]] * part.num_rows
-            if len(g):
-                s = samples(g, sent.value.of(g, count), first, bands * rows)
-                with np.errstate(over="ignore"):
-                    b = np.zeros((len(s), bands), np.uint64)
-                    for j in range(rows):
-                        b = mix(b * np.uint64(31) + s[:, j::rows] + np.arange(bands, dtype=np.uint64))
-                for i, row in zip(np.flatnonzero(np.diff(first)).tolist(), b.view(np.int64).tolist(), strict=True):
-                    keys[i] = row
-            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__h1"), part.column("__h2"), pa.array(keys, pa.list_(pa.int64()))], names=["__id", "__h1", "__h2", "bands"])
+        for batch in batches:
+            for body, answers in zip(batch.column("body"), batch.column("answers"), strict=True):
+                parts, found = _unpacked(body.as_py())
+                h = np.unique(np.concatenate([g for g, _, _ in found]))
+                df = np.concatenate([np.zeros(0, np.uint32)] + [_numbers(x["df"], np.uint32) for x in sorted(answers.as_py() or [], key=lambda x: x["bucket"])])
+                assert len(df) == len(h)
+                for part, (g, count, first) in zip(parts, found, strict=True):
+                    yield sketch(part, g, count, first, df[np.searchsorted(h, g)])
 
     return run
 
 
-def _vectors(sent, extra: list[str]):
+def _vectors(total: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
             g, count, first = shingles(texts_of(part, "__text"))
-            w = sent.value.of(g, count).astype(np.float32)
+            df = np.concatenate([_numbers(zlib.decompress(x), np.uint32) for x in part.column("df").to_pylist()])
+            w = weights(count, df, total).astype(np.float32)
             cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array([g[a:b].tobytes() for a, b in cut]), pa.array([w[a:b].tobytes() for a, b in cut])], names=[*extra, "g", "w"])
 
@@ -257,21 +301,21 @@ def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(c) for c in ("comp", "id", "pivot", "g", "w")] + [pa.array(d, pa.float64())], names=["comp", "id", "pivot", "g", "w", "d"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 8, rows: int = 3, common: float = 0.01, block: int = 256) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 8, rows: int = 3, block: int = 256) -> DataFrame:
     """(id, class_id): a row for each distinct id that isn't null; a class is named by its smallest id.
 
     Ids are longs. Equal texts are of one class, empty and null texts too; an id of several
     texts puts their classes together. Null ids have no class. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("__id"), body.alias("__text")).filter("__id IS NOT NULL")
-    total = base.count()
-    texts = base.select("__text")
-    sent = spark.sparkContext.broadcast(Weights(*common_shingles(texts, total, common), total, common))
     keyed = base.select("__id", F.xxhash64("__text").alias("__h1"), F.xxhash64(F.lit(7), "__text").alias("__h2"), "__text")
-    sketched = stored(keyed.mapInArrow(_sketch(sent, bands, rows), "__id long, __h1 long, __h2 long, bands array<long>"))
-    reps = stored(sketched.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands")))
+    chunks, total, buckets = pack(keyed)
+    asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, df binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "df")).alias("answers"))
+    counted = chunks.select("chunk", "body").join(answers, "chunk", "left").select("body", "answers")
+    sketched = stored(counted.mapInArrow(_sketch(total, bands, rows), "__id long, __h1 long, __h2 long, bands array<long>, df binary"))
+    reps = stored(sketched.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands"), F.first("df").alias("df")))
     member = sketched.select("__id", "__h1", "__h2").join(reps.select("__h1", "__h2", "rep"), ["__h1", "__h2"]).select("__id", "rep")
     member = stored(member)
 
@@ -282,11 +326,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     degree = near.groupBy("rep").agg(F.sum("n").alias("degree"))
     sizes = comp.join(degree, F.col("id") == F.col("rep")).groupBy("comp").agg(F.count("*").alias("n"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
     members = comp.join(sizes, "comp").select("id", "comp", "n", "pivot")
-    asked = members.join(reps.select("rep", "__h1", "__h2"), F.col("id") == F.col("rep")).select("id", "comp", "n", "pivot", "__h1", "__h2")
+    asked = members.join(reps.select("rep", "__h1", "__h2", "df"), F.col("id") == F.col("rep")).select("id", "comp", "n", "pivot", "__h1", "__h2", "df")
     # a repeated id may have several texts: the hashes pick the one that the representative stands for
     bodies = keyed.join(asked, (F.col("__id") == F.col("id")) & (keyed["__h1"] == asked["__h1"]) & (keyed["__h2"] == asked["__h2"]))
     names = ["id", "comp", "n", "pivot"]
-    vectors = stored(bodies.select(*names, "__text").mapInArrow(_vectors(sent, names), "id long, comp long, n long, pivot long, g binary, w binary"))
+    vectors = stored(bodies.select(*names, "df", "__text").mapInArrow(_vectors(total, names), "id long, comp long, n long, pivot long, g binary, w binary"))
 
     small = vectors.filter(F.col("n") <= block).groupBy("comp").applyInPandas(_compare(threshold, False), "a long, b long")
     large = vectors.filter(F.col("n") > block)

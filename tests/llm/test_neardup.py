@@ -107,3 +107,31 @@ def test_query_covers_all_documents(spark, data):
     assert set(got) == set(docs)
     want, _ = brute(sorted(docs.items()))
     assert got == want
+
+
+def test_rare_shingles_weigh_by_their_own_counts(spark, monkeypatch):
+    """A copy with a passage that 9 of 1,200 documents share: a link by true counts, none if df counts as 1 % at least."""
+    own = " ".join(f"own{i}" for i in range(112))
+    passage = " ".join(f"pas{i}" for i in range(30))
+    rows = [(0, own), (1, f"{own} {passage}")] + [(2 + i, f"{passage} tail{i} " + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(8)]
+    rows += [(100 + i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(1190)]
+    want, close = brute(rows, common=0)
+    assert not close and want[1] == 0 and brute(rows)[0][1] == 1
+    monkeypatch.setattr(neardup, "BUCKET", 1 << 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["id"]: r["class_id"] for r in neardup.classes(df, bands=30, rows=2).collect()} == want
+
+
+def test_every_shingle_is_counted(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    monkeypatch.setattr(neardup, "BUCKET", 300)
+    h, df = neardup.common_shingles(spark.createDataFrame(rows, "i long, __text string").select("__text").repartition(7), 150, 0)
+    want = Counter(x for _, t in rows for x in neardup.shingles([t])[0].tolist())
+    assert dict(zip(h.tolist(), df.tolist(), strict=True)) == want
+
+
+def test_query_equals_all_pairs_with_true_counts(spark, data):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want, close = brute(sorted(rows), common=0)
+    assert not close and {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, data).collect()} == want

@@ -8,7 +8,11 @@ Differencing alone can't give the article here: menus and adverts with words of
 on each page aren't shared, and two addresses of one article share all of it. So elements
 that HTML or their class names mark as boilerplate go first, blocks inside ``article`` are
 kept as they are, and differencing decides where a page marks no article. A pair that
-shares at least ``COPY`` of either page's blocks is one article twice, and loses nothing.
+shares at least ``COPY`` of either page's blocks may be one article twice: of its shared
+blocks those are template that also occur on a further page of the host, one with a path
+and text of its own. Further pages are sought in the slice of the sort that is at work and
+the two beside it. If there is none, the pair is one article twice, and loses nothing, if it
+shares ``COPY`` of the longer page.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import html as htmllib
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -44,6 +48,7 @@ MARKS = set(
     "modal overlay pagination pager toolbar widget widgets skip".split()
 )
 WHOLE = {"html", "body", "main"}
+Further = Callable[[set[str]], set[str] | None]
 
 
 def _marked(name: str, tag: str, inside: bool) -> tuple[bool, bool]:
@@ -168,37 +173,71 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(own: list[str], other: list[str]) -> list[str]:
+def difference(own: list[str], other: list[str], further: Further | None = None) -> list[str]:
     both = shared(own, other)
     if both and len(both) >= COPY * min(len(own), len(other)):
-        return own
+        held = further({own[i] for i in both}) if further else None
+        if held is not None:
+            both = {i for i in both if own[i] in held}
+        elif len(both) >= COPY * max(len(own), len(other)):
+            return own
     return [x for i, x in enumerate(own) if i not in both]
 
 
+class View:
+    """The pages of a stretch of the sort by the blocks they hold."""
+
+    def __init__(self, pages: list[tuple]):
+        self.pages: dict[str, dict[tuple[str, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.holders: dict[tuple[str, str], set[tuple[str, ...]]] = defaultdict(set)
+        for host, path, _, own in pages:
+            if host and own:
+                key = tuple(own)
+                self.pages[host][key].add(path)
+                for x in own:
+                    self.holders[host, x].add(key)
+
+    def further(self, page: tuple, other: tuple) -> Further:
+        """Those of some blocks that further pages hold; None if there is no such page."""
+        host, alike, paths = page[0], {tuple(page[3]), tuple(other[3])}, {page[1], other[1]}
+        texts = self.pages[host]
+
+        def is_further(key: tuple[str, ...]) -> bool:
+            return key not in alike and not texts[key] <= paths
+
+        def held(found: set[str]) -> set[str] | None:
+            return {x for x in found if any(map(is_further, self.holders[host, x]))} if any(map(is_further, texts)) else None
+
+        return held
+
+
 def _extract(column: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(batch, parsed, before, after):
+        def finish(batch, parsed, earlier, later):
             out = []
+            before, after = (earlier or [None])[-1], (later or [None])[0]
+            view = None
             for i, (host, path, zone, own) in enumerate(parsed):
                 near = [parsed[i - 1] if i else before, parsed[i + 1] if i + 1 < len(parsed) else after]
                 near = [x for x in near if host and x and x[0] == host]
                 if zone < 2 and own and near:
                     best = max(near, key=lambda x: len(commonprefix([x[1], path])))
-                    own = difference(own, best[3])
+                    view = view or View([*earlier, *parsed, *later])
+                    own = difference(own, best[3], view.further(parsed[i], best))
                 out.append(" ".join(own))
             keep = [c for c in range(batch.num_columns) if batch.schema.names[c] not in (column, "__host", "__path", "__tie")]
             arrays = [batch.column(c) for c in keep] + [pa.array(out, pa.string())]
             return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
-        held = before = None
+        held, before = None, []
         for part in slices(batches, column):
             parsed = [(h, p, *blocks(x)) for h, p, x in zip(part.column("__host").to_pylist(), part.column("__path").to_pylist(), texts_of(part, column), strict=True)]
             if held:
-                yield finish(*held, before, parsed[0])
-                before = held[1][-1]
+                yield finish(*held, before, parsed)
+                before = held[1]
             held = (part, parsed)
         if held:
-            yield finish(*held, before, None)
+            yield finish(*held, before, [])
 
     return run
 

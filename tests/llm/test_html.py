@@ -57,3 +57,25 @@ def test_query_and_odd_rows(spark, data):
     df = spark.createDataFrame([(1, None, "<p>x</p>", "t"), (1, None, "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html.extract(df).collect()] == ["x", "x"]
     assert html.extract(df.filter("false")).count() == 0
+
+
+def texts(spark, pages):
+    rows = [(i, url, "".join(f"<p>{x}</p>" for x in own)) for i, (url, own) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    return {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+
+
+def test_thin_pages_and_stubs_lose_the_template(spark):
+    menu = [f"menu {i}" for i in range(10)]
+    thin = [(f"http://h/{i}", [*menu, f"own {i}", f"more {i}"]) for i in range(3)]
+    assert texts(spark, thin) == {i: f"own {i} more {i}" for i in range(3)}
+    long = [f"body {i}" for i in range(190)]
+    stub = [("http://s/a/1", [*menu, *long]), ("http://s/a/2", [*menu, "stub", "two"])]
+    assert texts(spark, stub) == {0: " ".join(long), 1: "stub two"}
+
+
+def test_copies_lose_only_what_further_pages_hold(spark):
+    menu, article = ["menu", "footer"], [f"line {i}" for i in range(10)]
+    pages = [("http://h/a/1", [*menu, *article, "seen 7"]), ("http://h/a/1?print", [*menu, *article, "seen 8"]), ("http://h/a/1?again", [*menu, *article, "seen 9"]), ("http://h/b/2", [*menu, "other"])]
+    got = texts(spark, pages)
+    assert [got[i] for i in range(3)] == [" ".join([*article, f"seen {n}"]) for n in (7, 8, 9)]

@@ -42,10 +42,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes with the application.
 
-    Only where that setting is absent (one machine, tests) the folder is below the local
-    temporary one.
+    Only where all of Spark is one process (``local`` masters, as in tests) may the setting be
+    absent: the folder is then below the temporary one. A cluster without it is an error, as
+    executors would write to disks of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/taleweft"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/taleweft"
     path = f"{base.rstrip('/')}/taleweft-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())

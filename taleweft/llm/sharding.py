@@ -1,6 +1,8 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Rows fall into logical blocks by a hash of the row, and the blocks are counted.
+1. Equal rows are numbered: they're combined to one row and a count before the shuffle and
+   dealt out again with their numbers, so a row of any frequency spreads. Rows fall into
+   logical blocks by a hash of the row and its number, and the blocks are counted.
 2. The driver draws how many rows of each block go to each shard, exactly as a uniform
    permutation would deal them: row by row of the matrix, a multivariate hypergeometric
    draw from the room that is left in the shards. The matrix holds blocks x shards
@@ -95,15 +97,16 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int = 4096, ma
     """All rows of ``df`` with ``shard_col`` (int) and ``slot_col`` (long, gapless from 0 in its shard).
 
     Counts of shards differ by one at most; earlier shards take the surplus. Input columns of
-    the result's names are replaced. Any column may be null; wholly equal rows are
-    interchangeable and all kept; an empty table gives an empty result; fewer rows than
-    shards leave shards empty. Blocks are made finer while one holds over ``max_block_rows``.
+    the result's names are replaced. Any column may be null; wholly equal rows are all kept
+    and placed independently of each other; an empty table gives an empty result; fewer rows
+    than shards leave shards empty. Blocks are made finer while one holds over ``max_block_rows``.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = df.sparkSession
     kept = without(df, shard_col, slot_col)
-    keyed = kept.select(F.struct("*").alias("__row"), row_hash(kept, seed).alias("__key"))
+    alike = kept.select(F.struct("*").alias("__row"), row_hash(kept, seed).alias("__h1"), row_hash(kept, seed + 1).alias("__h2")).groupBy("__h1", "__h2").agg(F.first("__row").alias("__row"), F.count("*").alias("__count"))
+    keyed = alike.withColumn("__k", F.explode(F.sequence(F.lit(1), "__count"))).select("__row", F.xxhash64("__h1", "__h2", "__k").alias("__key"))
     most = max(1, MAX_CELLS // shards)
     blocks = min(blocks, most)
     while True:

@@ -60,3 +60,24 @@ def test_draws_have_the_right_distribution():
 def test_main_path_has_no_python(spark, data):
     plan = sharding.op1_sharding(spark, data)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_equal_rows_are_placed_independently(spark):
+    twice = spark.range(1000).selectExpr("id", "'x' AS text").crossJoin(spark.range(2).select()).repartition(3)
+    rows = sorted((r["shard"], r["slot"], r["id"]) for r in sharding.shard(twice, 4, blocks=16).collect())
+    assert len(rows) == 2000 and set(Counter(i for *_, i in rows).values()) == {2}
+    beside = sum(a[0] == b[0] and a[2] == b[2] for a, b in zip(rows, rows[1:]))
+    assert beside <= 8  # about one by chance
+    together = sum(n == 2 for n in Counter((s, i) for s, _, i in rows).values())
+    assert 190 <= together <= 310  # a quarter by chance
+
+
+def test_one_row_may_be_most_of_the_table(spark):
+    hot = spark.range(4000).selectExpr("if(id < 3000, 0, id) AS id").repartition(5)
+    rows = sharding.shard(hot, 4, blocks=8, max_block_rows=400).collect()
+    n = Counter(r["shard"] for r in rows)
+    assert set(n.values()) == {1000} and len({(r["shard"], r["slot"]) for r in rows}) == 4000
+    per = Counter(r["shard"] for r in rows if r["id"] == 0)
+    assert all(690 <= x <= 810 for x in per.values())
+    halves = Counter(r["slot"] < 500 for r in rows if r["id"] == 0)
+    assert abs(halves[True] - halves[False]) < 200

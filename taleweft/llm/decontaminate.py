@@ -10,6 +10,9 @@
 The benchmark goes to the executors in blocks of at most ``block_words`` words, so what is
 broadcast has a bound; a larger benchmark takes more passes. Documents are never shuffled
 and no window of a document is left out.
+
+Items of fewer than ``exact_below`` words, which alignment can't tell from chance, match as
+a whole word sequence; those shorter than a seed are seeds themselves, of their own length.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts_of
 from .textkit import Words, grams, words
@@ -62,10 +66,12 @@ class Block:
     words: list[np.ndarray]
     lookup: Lookup
     places: dict[int, list[tuple[int, int]]]  # number of a key: (item, place)
+    sizes: list[int]  # words of its seeds: n, and those of shorter items
+    exact_below: int
 
 
 def align(item: np.ndarray, region: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> tuple[int, int]:
-    """Best local score and where it ends in the region."""
+    """Best local score and where it ends in the region (the first such place)."""
     h = np.zeros(len(region) + 1, np.int64)
     slope = gap * np.arange(len(region) + 1)
     best, end = 0, 0
@@ -80,6 +86,11 @@ def align(item: np.ndarray, region: np.ndarray, match: int = 2, miss: int = 1, g
     return best, end
 
 
+def begin(item: np.ndarray, region: np.ndarray, end: int) -> int:
+    """Where the best alignment that ends at ``end`` starts: the latest such place, found backwards."""
+    return end - align(item[::-1], region[:end][::-1])[1]
+
+
 def compare(w: Words, i: int, g: np.ndarray, at: np.ndarray, block: Block, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, start, end in words) of items that text ``i`` holds; g and at: its n-grams and places."""
     own = w[i]
@@ -91,27 +102,34 @@ def compare(w: Words, i: int, g: np.ndarray, at: np.ndarray, block: Block, thres
     found = []
     for item, starts in lines.items():
         target = block.words[item]
-        slack = max(4, len(target) // 3)
         starts = sorted(set(starts))
-        best, a = (0, 0), starts[0]
+        if len(target) < block.exact_below:
+            x = next((x for x in starts if 0 <= x <= len(own) - len(target) and (own[x : x + len(target)] == target).all()), None)
+            if x is not None:
+                found.append((item, 1.0, x, x + len(target)))
+            continue
+        slack = max(4, len(target) // 3)
+        best, a = (0, 0, 0), starts[0]
         for x, nxt in zip(starts, [*starts[1:], None], strict=True):
             if nxt is None or nxt - x > len(target) + 2 * slack:
                 lo, hi = max(0, a - slack), min(len(own), x + len(target) + slack)
                 score, end = align(target, own[lo:hi])
-                best = max(best, (score, lo + end))
+                if score > best[0]:
+                    best = (score, lo, lo + end)
                 a = nxt
         share = best[0] / (2 * len(target))
         if share >= threshold:
-            found.append((item, share, max(0, best[1] - len(target)), best[1]))
+            _, lo, end = best
+            found.append((item, share, lo + begin(target, own[lo:end], end - lo), end))
     return found
 
 
-def _blocks(items: DataFrame, n: int, min_words: int, block_words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Items come to the driver one partition at a time, and leave it in blocks."""
     ids, held, size = [], [], 0
     for row in items.toLocalIterator():
         h = words([row[1] or ""]).h
-        if row[0] is None or len(h) < max(n, min_words):
+        if row[0] is None or not len(h):
             continue
         ids.append(row[0])
         held.append(h)
@@ -123,18 +141,30 @@ def _blocks(items: DataFrame, n: int, min_words: int, block_words: int) -> Itera
         yield ids, held
 
 
+def _all_grams(w: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the n-grams of several sizes, in order of place."""
+    found = [grams(w, n) for n in sizes]
+    if len(found) == 1:
+        return found[0]
+    g, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return g[order], at[order]
+
+
 def _gram_list(held: list[np.ndarray], n: int) -> list[np.ndarray]:
-    w = Words(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), np.cumsum([0, *map(len, held)]))
-    g, at = grams(w, n)
-    return np.split(g, np.searchsorted(at, w.first[1:-1])) if len(held) > 1 else [g]
+    """The n-grams of each item; the whole of an item that is shorter."""
+    out = []
+    for h in held:
+        out.append(grams(Words(h, np.zeros(len(h), np.int64), np.array([0, len(h)])), min(n, len(h)))[0])
+    return out
 
 
-def _counting(lookup: Lookup, n: int):
+def _counting(lookup: Lookup, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(lookup.keys), np.int64)
         for part in slices(batches, "__text"):
             w = words(texts_of(part, "__text"))
-            g, at = grams(w, n)
+            g, at = _all_grams(w, sizes)
             hit, k = lookup.find(g)
             if len(hit):
                 pairs = np.unique(w.text[at[hit]] * len(df) + k)
@@ -161,74 +191,75 @@ def _seeds(per_item: list[np.ndarray], lookup: Lookup, df: np.ndarray, window: i
     return dict(places)
 
 
-def _prepared(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, n: int, window: int, min_words: int, block_words: int) -> Iterator[Block]:
-    spark = docs.sparkSession
-    for ids, held in _blocks(items.select(item_id, item_text), n, min_words, block_words):
+def _prepared(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, n: int, window: int, exact_below: int, block_words: int) -> Iterator[Block]:
+    for ids, held in _blocks(items.select(item_id, item_text), block_words):
         per_item = _gram_list(held, n)
+        sizes = sorted({min(n, len(h)) for h in held})
         lookup = Lookup.of(np.concatenate(per_item))
-        counted = docs.select(F.col(text).alias("__text")).mapInArrow(_counting(lookup, n), "k long, df long").groupBy("k").agg(F.sum("df").alias("df"))
+        counted = docs.select(F.col(text).alias("__text")).mapInArrow(_counting(lookup, sizes), "k long, df long").groupBy("k").agg(F.sum("df").alias("df"))
         df = np.zeros(len(lookup.keys), np.int64)
         for row in counted.collect():  # a row per n-gram of the block at most
             df[row["k"]] = row["df"]
         places = _seeds(per_item, lookup, df, window)
         used = lookup.keys[np.array(sorted(places), np.int64)]
-        yield Block(ids, held, Lookup.of(used), {j: places[k] for j, k in enumerate(sorted(places))})
+        yield Block(ids, held, Lookup.of(used), {j: places[k] for j, k in enumerate(sorted(places))}, sizes, exact_below)
 
 
-def _matching(block, n: int, threshold: float, text: str):
+def _matching(block, threshold: float, text: str):
     """Each row of a batch with what it holds."""
 
     def run(part: pa.RecordBatch) -> list[list[tuple[int, float, int, int]]]:
         b = block.value
         w = words(texts_of(part, text))
-        g, at = grams(w, n)
+        g, at = _all_grams(w, b.sizes)
         cut = np.searchsorted(at, w.first)
         return [compare(w, i, g[cut[i] : cut[i + 1]], at[cut[i] : cut[i + 1]] - w.first[i], b, threshold) for i in range(part.num_rows)]
 
     return run
 
 
-DEFAULTS = {"n": 3, "window": 3, "min_words": 8, "block_words": 1 << 20}
+DEFAULTS = {"n": 3, "window": 3, "exact_below": 8, "block_words": 1 << 20}
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, **params) -> DataFrame:
     """A row for each document and item that it holds: ``doc_id``, ``item_id``, ``score``
     (0 to 1), ``start`` and ``end`` (the aligned place, in words).
 
-    Null texts are empty; a null document id is kept in the row; items with a null id or fewer
-    than ``min_words`` words, which chance can't be told from, match nothing. Repeated
-    documents and items each give rows. Empty tables give no rows.
+    Null texts are empty; a null document id is kept in the row; items with a null id or
+    without words match nothing; items of fewer than ``exact_below`` words match whole and
+    unchanged. Repeated documents and items each give rows; of equally good places the first
+    counts. Ids may be of any type; other columns take no part. Empty tables give no rows.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     params = DEFAULTS | params
     spark, found = docs.sparkSession, []
-    id_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, start long, end long"
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    kinds = (docs.schema[doc_id].dataType, items.schema[item_id].dataType, T.DoubleType(), T.LongType(), T.LongType())
+    schema = T.StructType([T.StructField(c, k) for c, k in zip(("doc_id", "item_id", "score", "start", "end"), kinds, strict=True)])
     narrow = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     for block in _prepared(docs, text, items, item_id, item_text, **params):
         sent = spark.sparkContext.broadcast(block)
-        match = _matching(sent, params["n"], threshold, "__text")
+        match = _matching(sent, threshold, "__text")
 
         def run(batches: Iterator[pa.RecordBatch], match=match, sent=sent) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "__text"):
                 got = [(i, *x) for i, row in enumerate(match(part)) for x in row]
                 ids = part.column("__id").take(pa.array([x[0] for x in got], pa.int64()))
                 items_ = [sent.value.ids[x[1]] for x in got]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(items_, ITEM_TYPES.get(item_type)), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64()), pa.array([x[4] for x in got], pa.int64())], names=["doc_id", "item_id", "score", "start", "end"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(items_, item_type), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64()), pa.array([x[4] for x in got], pa.int64())], names=["doc_id", "item_id", "score", "start", "end"])
 
         found.append(narrow.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, **params) -> DataFrame:
     """The rows of ``docs`` that hold no item; as hits() for nulls, short items and empty tables."""
     params = DEFAULTS | params
     spark = docs.sparkSession
     kept = docs
     for block in _prepared(docs, text, items, item_id, item_text, **params):
-        match = _matching(spark.sparkContext.broadcast(block), params["n"], threshold, text)
+        match = _matching(spark.sparkContext.broadcast(block), threshold, text)
 
         def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text):

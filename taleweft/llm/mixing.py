@@ -7,14 +7,14 @@ its size gives ``floor(r)`` copies of every document, and one more of a balanced
 all documents have the inclusion probability ``r - floor(r)``, and the cube method moves
 these through the null space of the constraints (number of documents, number of words)
 until each is 0 or 1. The flight runs in blocks of documents, each of which leaves two
-undecided at most; those meet in ever fewer blocks, and only the last two of a source land.
-Of up to TRIES flights of that last block the one that lands nearest is taken, so a source of
-a few long documents is near its target too.
+undecided at most; those meet in ever fewer blocks. In a source's last block ``LANDING``
+documents of all sizes (the largest, the second, the fourth, the eighth ...) wait until the
+others have flown, and what is undecided then (two more at most) is the landing problem: of all its outcomes the one nearest the source's words is taken,
+then the one nearest its count. Probabilities are kept exactly for all other documents.
 """
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 from typing import Any
 
@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import row_hash, stored, without
 
 EPS = 1e-9
-#: Flights of a source's last block; the one that lands nearest its words is taken.
-TRIES = 16
+#: Documents of a source that land, besides the two that its flight leaves.
+LANDING = 10
 
 
 def word_count(text) -> F.Column:
@@ -59,12 +59,8 @@ def targets(sized: DataFrame, source: str, size: str, weights: tuple[float, ...]
     )
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Move ``p`` until two at most are strictly between 0 and 1; with ``land``, until none is.
-
-    The sums of p and of p * size stay as they are. The landing of the last two takes the
-    outcome whose words are nearest, and then whose count is.
-    """
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Move ``p`` until two at most are strictly between 0 and 1; the sums of p and of p * size stay as they are."""
     p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p)).astype(float)
     open_ = [int(i) for i in np.flatnonzero((p > 0) & (p < 1))]
     out, sizes, draws = p.tolist(), size.astype(float).tolist(), iter(rng.random(2 * len(open_) + 8).tolist())
@@ -96,15 +92,21 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
             active = step(active, [1.0, -1.0])
         else:
             break
-    if land:
-        ways = itertools.product((0.0, 1.0), repeat=len(active))
-        off = lambda way: [x - out[i] for x, i in zip(way, active, strict=True)]
-        best = min(ways, key=lambda way: (abs(sum(d * sizes[i] for d, i in zip(off(way), active, strict=True))), abs(sum(off(way))), way))
-        for i, x in zip(active, best, strict=True):
-            out[i] = x
     return np.array(out)
 
 
+def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each of a few ``p`` to 0 or 1: of all outcomes the one whose words are nearest, and then whose count is."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = ways - p[open_]
+    words, count = np.abs(off @ size[open_].astype(float)), np.abs(off.sum(1))
+    best = np.lexsort((np.arange(len(ways)), count.round(9), words.round(6)))[0]
+    out = p.copy()
+    out[open_] = ways[best]
+    return out
+
+
 def interleaved(size: np.ndarray) -> np.ndarray:
     """An order of large and small in turn: the small ones balance each large one while it is open."""
     down = np.argsort(-size, kind="stable")
@@ -116,19 +118,15 @@ def interleaved(size: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int, level: int, land: bool):
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         pdf = pdf.sort_values("__key")
         pdf = pdf.iloc[interleaved(pdf["__unit"].to_numpy())]
         p, unit = pdf["__p"].to_numpy(), pdf["__unit"].to_numpy()
-        best = None
-        for turn in range(TRIES if land else 1):
-            rng = np.random.default_rng([seed, level, int(key[0]), int(key[1]), turn])
-            out = flight(p, unit, rng, land)
-            off = abs(float(((out - p) * unit).sum()))
-            if best is None or off < best[0]:
-                best = (off, out)
-            if off <= 1e-3 * float((p * unit).sum()):
-                break
-        return pdf.assign(__p=best[1])
+        wait = np.argsort(unit, kind="stable")[[len(p) - (1 << k) for k in range(LANDING if land else 0) if 1 << k <= len(p)]]
+        flown = np.setdiff1d(np.arange(len(p)), wait)
+        out = p.copy()
+        out[flown] = flight(p[flown], unit[flown], rng)
+        return pdf.assign(__p=landing(out, unit) if land else out)
 
     return run
 

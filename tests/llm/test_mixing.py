@@ -63,15 +63,48 @@ def test_odd_rows(odd_docs, no_docs):
 def test_flight_keeps_both_sums(sizes, p, seed):
     size = np.array(sizes, float)
     start = np.full(len(size), p)
-    out = mixing.flight(start, size, np.random.default_rng(seed), land=False)
+    out = mixing.flight(start, size, np.random.default_rng(seed))
     assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
     assert out.sum() == pytest.approx(start.sum(), abs=1e-6)
     assert (out * size).sum() == pytest.approx((start * size).sum(), abs=1e-4)
-    landed = mixing.flight(out, size, np.random.default_rng(seed), land=True)
+    landed = mixing.landing(out, size)
     assert set(landed.tolist()) <= {0.0, 1.0}
 
 
 def test_flight_keeps_inclusion_probabilities():
     size = np.array([5, 1, 9, 2, 7, 3.0])
-    got = np.mean([mixing.flight(np.full(6, 0.4), size, np.random.default_rng(i), False) for i in range(4000)], axis=0)
+    got = np.mean([mixing.flight(np.full(6, 0.4), size, np.random.default_rng(i)) for i in range(4000)], axis=0)
     assert got == pytest.approx(np.full(6, 0.4), abs=0.03)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(0, 30)), min_size=1, max_size=7))
+def test_landing_is_the_nearest_of_all_outcomes(units):
+    import itertools
+
+    p, size = np.array([x for x, _ in units]), np.array([float(s) for _, s in units])
+    free = [(0.0, 1.0) if 0 < x < 1 else (x,) for x, _ in units]
+    off = lambda way: abs(((np.array(way) - p) * size).sum())
+    out = mixing.landing(p, size)
+    assert set(out.tolist()) <= {0.0, 1.0} and off(out) <= min(map(off, itertools.product(*free))) + 1e-5
+
+
+def test_documents_keep_their_probabilities_through_the_landing():
+    """Over many seeds a document is taken as often as its probability says, but for those that land."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    unit = rng.integers(1, 400, 80)
+    pdf = pd.DataFrame({"__key": np.arange(80), "__unit": unit, "__p": np.full(80, 0.3)})
+    runs = [mixing._fly(seed, 0, True)((1, 0), pdf).sort_values("__key")["__p"].to_numpy() for seed in range(1500)]
+    assert all(set(x.tolist()) <= {0.0, 1.0} for x in runs)
+    apart = np.sort(np.abs(np.mean(runs, axis=0) - 0.3))
+    assert apart[: -mixing.LANDING - 4].max() < 0.04
+    words = np.array([(x * unit).sum() for x in runs])
+    assert np.abs(words / (0.3 * unit.sum()) - 1).max() < 0.01
+
+
+def test_every_source_comes_near_its_target(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = mixing.op6_mixing(spark, sf).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert max(abs(r["sum(taken)"] / r["max(target)"] - 1) for r in rows) < 0.02

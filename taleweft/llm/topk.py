@@ -1,11 +1,11 @@
 """Exact top-k inner products by ball-tree branch and bound in shards.
 
-Vectors are dealt to shards by a hash of their id, each shard grows a ball tree, and queries
-come in blocks: a pair of a shard and a block of queries is one task's work, so neither the
+Vectors are dealt to shards by a hash of their id. A task grows the ball tree of its shard
+once and streams the queries past it; queries come in blocks of bounded size, so neither the
 vectors nor the queries have to fit one machine. In a shard, a query visits nodes by their
-upper bound ``q . centre + |q| * radius`` and stops at bounds below its kth score. First all
-queries search a pilot shard; the kth score found there is shared with the search of all
-others, where it cuts most nodes at once.
+upper bound ``q . centre + |q| * radius`` and stops at bounds below its kth score. Shards are
+searched in waves (1, 3, 12, 48 ... of them): the kth score that a query has reached after
+each wave is shared with the next, where it cuts most nodes at once.
 
 Equal vectors are one point of a tree with its smallest ids; k + 1 of them are all that any
 result can hold, ties going to the smaller id and a query's own row being left out.
@@ -14,11 +14,12 @@ result can hold, ties going to the smaller id and a query's own row being left o
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,10 +69,8 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) @ q.astype(np.int64)
 
 
-def search(x: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(number of the query, vec_id, score): the k best of each query that reach its floor."""
-    tree = BallTree(x)
-    ranked = x[tree.order]
+def search(tree: BallTree, ranked: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(number of the query, vec_id, score): the k best of each query that reach its floor; ``ranked`` are the points in the tree's order."""
     out = []
     norms = np.sqrt((queries**2).sum(1))
     bounds = queries @ tree.centres.T + norms[:, None] * tree.radii + 1e-6 * (1 + norms[:, None])
@@ -105,61 +104,94 @@ def search(x: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, own: np.nd
     return out
 
 
-def _shard_search(k: int):
-    def run(key: tuple[Any, ...], vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(vectors) and len(asked):
-            for dim, part in vectors.groupby(vectors["v"].map(len)):
-                q = asked[asked["v"].map(len) == dim]
-                if not len(q) or not dim:
-                    continue
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                order = np.lexsort((part["vec_id"].to_numpy(), *x.T[::-1]))
-                x, own = x[order], part["vec_id"].to_numpy()[order]
+class Shard:
+    """The trees of a shard, one for each length of its vectors."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, list[np.ndarray]]], k: int):
+        self.k, self.trees = k, {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for own, vectors in parts:
+            for i, v in zip(own.tolist(), vectors, strict=True):
+                by_length.setdefault(len(v), []).append((i, v))
+        for dim, rows in by_length.items():
+            if dim:
+                x, own = np.stack([v for _, v in rows]), np.array([i for i, _ in rows], np.int64)
+                order = np.lexsort((own, *x.T[::-1]))
+                x, own = x[order], own[order]
                 new = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]).any(1)) + 1, [len(x)]])
-                ids = [own[a : min(b, a + k + 1)] for a, b in zip(new[:-1], new[1:], strict=True)]
-                got = search(x[new[:-1]], ids, np.stack(q["v"].to_numpy()).astype(float), q["vec_id"].to_numpy(), q["floor"].to_numpy(float), k)
-                names = q["vec_id"].to_numpy()
-                found += [(names[i], v, s) for i, v, s in got]
-        return pd.DataFrame(found, columns=["qid", "vec_id", "score"]).astype("int64")
+                points = x[new[:-1]]
+                tree = BallTree(points)
+                self.trees[dim] = tree, points[tree.order], [own[a : min(b, a + k + 1)] for a, b in zip(new[:-1], new[1:], strict=True)]
+
+    def answers(self, own: np.ndarray, vectors: list[np.ndarray], floor: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        lengths = np.array([len(v) for v in vectors])
+        for dim in np.unique(lengths).tolist():
+            if dim in self.trees:
+                at = np.flatnonzero(lengths == dim)
+                found = search(*self.trees[dim], np.stack([vectors[i] for i in at]), own[at], floor[at], self.k)
+                yield from ((int(own[at[i]]), v, s) for i, v, s in found)
+
+
+def _cells(k: int, step: int = 1024):
+    """Rows in order of shard and block, a cell's vectors before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, shard = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "kind")], 1)
+            for a, b in itertools.pairwise([0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else []):
+                if cell != tuple(keys[a, :2]):
+                    cell, parts, shard = tuple(keys[a, :2]), [], None
+                for c in range(a, b, step):
+                    part = batch.slice(c, min(step, b - c))
+                    v = part.column("v")
+                    cut = v.offsets.to_numpy()
+                    values = v.values.to_numpy(zero_copy_only=False)
+                    own, vectors = part.column("vec_id").to_numpy(), [values[x:y] for x, y in itertools.pairwise(cut.tolist())]
+                    if keys[a, 2] == 0:
+                        parts.append((own, [x.copy() for x in vectors]))
+                        continue
+                    if shard is None:
+                        shard, parts = Shard(parts, k), []
+                    hits = list(shard.answers(own, vectors, part.column("floor").to_numpy()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in hits], pa.int64()) for j in range(3)], names=["qid", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", shard_rows: int = 8192, block_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query, ties to the smaller id.
 
     Both tables have ``id_col`` (long) and ``vector`` (array of whole numbers); a query meets
     vectors of its own length, and never the row of its own id. Rows with a null id, vector or
-    component take no part; repeated rows of an id count once. Fewer than k candidates give
-    what there is; empty tables give no rows. Scores must fit a long.
+    component take no part; an id of several rows counts once, with its least vector. Fewer
+    than k candidates give what there is; empty tables give no rows. Scores must fit a long.
     """
-    whole = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, c -> c IS NULL OR isnan(c) OR abs(c) = double('Infinity'))").dropDuplicates(["vec_id"])
-    x, q = whole(vectors), stored(whole(queries))
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
+    finite = "vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, c -> c IS NULL OR isnan(c) OR abs(c) = double('Infinity'))"
+    whole = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(finite).groupBy("vec_id").agg(F.min("v").alias("v"))
+    x = stored(whole(vectors))
+    q = stored(whole(queries))
+    shards = max(1, math.ceil(x.count() / shard_rows))
     blocks = max(1, math.ceil(q.count() / block_rows))
     placed = stored(x.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")))
     asked = q.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-
-    def each(rows: DataFrame, asked: DataFrame, targets: DataFrame) -> DataFrame:
-        """Every shard of ``rows`` with every block: vectors go to all blocks, queries to all shards."""
-        left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = asked.withColumn("shard", F.explode(targets))
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_shard_search(k), HITS)
-
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    pilot = stored(each(placed.filter("shard = 0"), asked.withColumn("floor", F.lit(float("-inf"))), F.array(F.lit(0))))
-    found = pilot
-    if shards > 1:
-        floors = ranked(pilot).groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("f"))
-        told = asked.join(floors, F.col("vec_id") == F.col("qid"), "left").select("vec_id", "v", "block", F.coalesce("f", F.lit(float("-inf"))).alias("floor"))
-        found = pilot.unionByName(each(placed.filter("shard > 0"), told, F.sequence(F.lit(1), F.lit(shards - 1))))
+    found, low = None, 0
+    while low < shards:
+        high = min(shards, max(1, 4 * low))
+        floors = None if found is None else found.groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("f"))
+        told = asked.withColumn("f", F.lit(None).cast("double")) if floors is None else asked.join(floors, F.col("vec_id") == F.col("qid"), "left")
+        points = placed.filter((F.col("shard") >= low) & (F.col("shard") < high)).select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("floor"))
+        looked = told.select(F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("shard"), "block", F.lit(1).alias("kind"), "vec_id", "v", F.coalesce("f", F.lit(float("-inf"))).alias("floor"))
+        hits = points.unionByName(looked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInArrow(_cells(k), HITS)
+        found = stored(ranked(hits if found is None else hits.unionByName(found)).select("qid", "vec_id", "score"))
+        low = high
     return ranked(found).select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest rows of every embedding whose id is divisible by 50."""
+    """The 5 best rows for every embedding whose id is divisible by 50; nulls, ties and repeated ids as in top_k()."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     x = table.filter("NOT exists(embedding, c -> c IS NULL OR isnan(c) OR abs(c) = float('Infinity'))")
     x = x.select("vec_id", F.transform("embedding", lambda c: F.floor(F.lit(256) * c.cast("double"))).alias("vector"))

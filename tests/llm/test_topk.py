@@ -12,7 +12,7 @@ def brute(rows, queries, k):
     best, out = {}, []
     for i, v in rows:
         if i is not None and v is not None and None not in v:
-            best.setdefault(i, v)
+            best[i] = min(v, best.get(i, v))
     for q in queries:
         scored = sorted((-sum(a * b for a, b in zip(best[q], v, strict=True)), i) for i, v in best.items() if i != q and len(v) == len(best[q]))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
@@ -26,10 +26,10 @@ def test_query_equals_its_sql(spark, data):
 def test_ties_copies_nulls_and_lengths(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-3, 4, 4).tolist()) for i in range(300)]
-    rows += [(1000 + i, [1, 2, 3, 0]) for i in range(50)] + [(2000, [1, 2]), (2001, [3, 1]), (3000, None), (3001, [1, None, 2, 3]), (None, [1, 1, 1, 1]), (5, rows[5][1])]
-    df = spark.createDataFrame(rows, SCHEMA)
-    queries = [0, 5, 50, 1000, 1049, 2000]
-    got = topk.top_k(df, df.filter(topk.F.col("vec_id").isin(queries)), 5, shard_rows=64, block_rows=3)
+    rows += [(1000 + i, [1, 2, 3, 0]) for i in range(50)] + [(2000, [1, 2]), (2001, [3, 1]), (3000, None), (3001, [1, None, 2, 3]), (None, [1, 1, 1, 1]), (5, rows[5][1]), (6, [3, 3, 3, 3]), (6, [-9, 9, 9, 9]), (7, [])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"shard": topk.F.lit("x"), "floor": topk.F.lit(1), "v": topk.F.lit(None)})
+    queries = [0, 5, 6, 50, 1000, 1049, 2000]
+    got = topk.top_k(df, df.filter(topk.F.col("vec_id").isin(queries)), 5, shard_rows=24, block_rows=3)
     assert sorted(map(tuple, got.collect())) == brute(rows, queries, 5)
 
 
@@ -46,6 +46,7 @@ def test_bounds_prune_but_never_lose():
     rng = np.random.default_rng(1)
     x = rng.integers(-256, 256, (2000, 8)).astype(float) + 400 * (np.arange(2000)[:, None] % 5 - 2)
     q = x[:20]
-    got = topk.search(x, [np.array([i]) for i in range(2000)], q, np.arange(20), np.full(20, -np.inf), 5)
+    tree = topk.BallTree(x)
+    got = topk.search(tree, x[tree.order], [np.array([i]) for i in range(2000)], q, np.arange(20), np.full(20, -np.inf), 5)
     want = brute(list(enumerate(x.astype(int).tolist())), range(20), 5)
     assert sorted((i, v, s) for i, v, s in got) == sorted((i, v, s) for i, _, v, s in want)

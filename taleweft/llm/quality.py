@@ -185,14 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Fit on labelled documents outside the held-out fold.
 
     At most ``max_train`` labels are used, those of the smallest hashes of their ids; a
-    document with several labels gets their mean. Null labels and ids teach nothing.
+    document with several labels gets their mean. Null labels and ids teach nothing; of an id
+    of several texts the least text teaches (null if it has no other).
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label).cast("double")).alias("__y"))
     bounded = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_train))
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__text")).join(bounded, F.col("__i") == F.col("__id"))
-    rows = rows.select("__id", "__y", "__text").mapInArrow(_measured, f"__id {known.schema['__id'].dataType.simpleString()}, __y double, __x array<double>")
-    got = sorted((r["__id"], r["__x"], r["__y"]) for r in rows.limit(4 * max_train).toLocalIterator())
+    one = rows.groupBy("__id").agg(F.first("__y").alias("__y"), F.min("__text").alias("__text"))  # at most max_train rows
+    rows = one.select("__id", "__y", "__text").mapInArrow(_measured, f"__id {known.schema['__id'].dataType.simpleString()}, __y double, __x array<double>")
+    got = sorted((r["__id"], r["__x"], r["__y"]) for r in rows.collect())
     return fit(np.array([x for _, x, _ in got]).reshape(len(got), len(FEATURES)), np.array([y for *_, y in got], float), **params)
 
 
@@ -213,7 +215,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", score: str = "sc
 
 
 def op4_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
-    """The quality of every document."""
+    """The quality of every document; null texts count as empty, repeated rows are all kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     scored = classify(docs, model)

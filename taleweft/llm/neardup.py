@@ -6,15 +6,15 @@
   distinct shingles to the buckets of their hash, each bucket adds up its part of all chunks
   and answers a chunk with the counts in the order it asked. Buckets and chunks are of bounded
   size and grow in number, and no task or driver holds a table of all shingles.
-* Each distinct text gets ``bands * rows`` consistent weighted samples (Ioffe, 2010); texts
+* Each text gets ``bands * rows`` consistent weighted samples (Ioffe, 2010); texts
   that agree in all samples of a band are candidates, and candidates form components.
 * Components are verified by the weighted Jaccard similarity. Within one, pairs are compared
   inside tasks and only a spanning set of links leaves them. A large component is split by
   the distance to its pivot, the text with the most candidates: texts near the pivot are
   linked through it, and by the triangle inequality (the distance is a metric) other pairs
   can only link where their distances to the pivot differ by at most ``1 - threshold``.
-  Blocks of those are compared pair by pair of blocks, so no task holds a large component
-  and no link is lost.
+  Blocks of those, of a bounded number of texts and of shingles (one text at least), are
+  compared pair by pair of blocks, so no task holds a large component and no link is lost.
 
 Equal texts are one text throughout; classes are connected by links (single linkage).
 """
@@ -38,6 +38,8 @@ from .textkit import grams, mix, words
 #: Bytes of text in a chunk (one document at least), and for each bucket of hashes.
 CHUNK = 1 << 21
 BUCKET = 12 << 20
+#: Shingles in a block of texts to compare.
+MASS = 1 << 21
 STEP = 0.05
 
 
@@ -135,22 +137,16 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([_planes(x) for x in found], pa.binary())})
 
 
-def _least(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        _, h, _, df = _sums(table)
-        return pa.table({"h": h[df >= least].view(np.int64), "df": df[df >= least]})
-
-    return run
+def _counts(table: pa.Table) -> pa.Table:
+    _, h, _, df = _sums(table)
+    return pa.table({"h": h.view(np.int64), "df": df})
 
 
-def common_shingles(texts: DataFrame, total: int, common: float) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least ``common * total`` rows of ``texts`` (column __text) and their counts, by hash."""
+def document_frequency(texts: DataFrame) -> DataFrame:
+    """(h, df): every distinct shingle's hash and in how many rows of ``texts`` (column __text) it is."""
     chunks, _, buckets = pack(texts)
     asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
-    kept = asked.groupBy("bucket").applyInArrow(_least(common * total), "h long, df long").collect()
-    h = np.array([r[0] for r in kept], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r[1] for r in kept], np.int64)[order]
+    return asked.groupBy("bucket").applyInArrow(_counts, "h long, df long")
 
 
 def weights(count: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
@@ -203,7 +199,7 @@ def _sketch(total: int, bands: int, rows: int):
             for i, row in zip(np.flatnonzero(np.diff(first)).tolist(), b.view(np.int64).tolist(), strict=True):
                 keys[i] = row
         own = [zlib.compress(_planes(df[a:b]), 1) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("__id"), part.column("__h1"), part.column("__h2"), pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.binary())], names=["__id", "__h1", "__h2", "bands", "df"])
+        return pa.RecordBatch.from_arrays([part.column("__id"), part.column("__h1"), part.column("__h2"), pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(first)), pa.array(own, pa.binary())], names=["__id", "__h1", "__h2", "bands", "mass", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,17 +310,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, df binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "df")).alias("answers"))
     counted = chunks.select("chunk", "body").join(answers, "chunk", "left").select("body", "answers")
-    sketched = stored(counted.mapInArrow(_sketch(total, bands, rows), "__id long, __h1 long, __h2 long, bands array<long>, df binary"))
-    reps = stored(sketched.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands"), F.first("df").alias("df")))
+    sketched = stored(counted.mapInArrow(_sketch(total, bands, rows), "__id long, __h1 long, __h2 long, bands array<long>, mass long, df binary"))
+    reps = stored(sketched.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands"), F.first("mass").alias("mass"), F.first("df").alias("df")))
     member = sketched.select("__id", "__h1", "__h2").join(reps.select("__h1", "__h2", "rep"), ["__h1", "__h2"]).select("__id", "rep")
     member = stored(member)
 
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = reps.select("rep", "mass", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    near = stored(buckets.join(hubs, "key").select("rep", "hub", "n"))
+    near = stored(buckets.join(hubs, "key").select("rep", "hub", "n", "mass"))
     comp = stored(components(near.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select("id", F.col("component").alias("comp")))
-    degree = near.groupBy("rep").agg(F.sum("n").alias("degree"))
-    sizes = comp.join(degree, F.col("id") == F.col("rep")).groupBy("comp").agg(F.count("*").alias("n"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    degree = near.groupBy("rep").agg(F.sum("n").alias("degree"), F.first("mass").alias("mass"))
+    sizes = comp.join(degree, F.col("id") == F.col("rep")).groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("mass") / MASS)).alias("n"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
     members = comp.join(sizes, "comp").select("id", "comp", "n", "pivot")
     asked = members.join(reps.select("rep", "__h1", "__h2", "df"), F.col("id") == F.col("rep")).select("id", "comp", "n", "pivot", "__h1", "__h2", "df")
     # a repeated id may have several texts: the hashes pick the one that the representative stands for
@@ -332,21 +328,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     names = ["id", "comp", "n", "pivot"]
     vectors = stored(bodies.select(*names, "df", "__text").mapInArrow(_vectors(total, names), "id long, comp long, n long, pivot long, g binary, w binary"))
 
-    small = vectors.filter(F.col("n") <= block).groupBy("comp").applyInPandas(_compare(threshold, False), "a long, b long")
-    large = vectors.filter(F.col("n") > block)
+    small = vectors.filter("n = 1").groupBy("comp").applyInPandas(_compare(threshold, False), "a long, b long")
+    large = vectors.filter("n > 1")
     pivots = large.filter("id = pivot").select(F.col("comp").alias("c"), F.col("g").alias("pg"), F.col("w").alias("pw")).dropDuplicates(["c"])
     placed = stored(large.join(pivots, F.col("comp") == F.col("c")).select("comp", "id", "pivot", "g", "w", "pg", "pw").mapInArrow(_to_pivot, "comp long, id long, pivot long, g binary, w binary, d double"))
     limit = 1 - threshold
     stars = placed.filter((F.col("d") <= limit + 1e-9) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     near_bins = int(np.floor(limit / STEP + 1e-9)) - 1  # bins that lie within the limit whole
     binned = placed.withColumn("bin", F.floor(F.col("d") / STEP).cast("int"))
-    cells = binned.groupBy("comp", "bin").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    cells = stored(cells.select("comp", "bin", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    left, right = (cells.select("comp", F.col("bin").alias(f"bin{s}"), F.col("part").alias(f"part{s}"), F.expr(f"bin * 1000000L + part").alias(f"cell{s}")) for s in (1, 2))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("g")) / (8 * MASS))).cast("int")
+    cells = stored(binned.groupBy("comp", "bin").agg(parts.alias("parts")))
     reach = int(np.ceil(limit / STEP - 1e-9)) + 1
-    partners = left.join(right, "comp").filter((F.col("cell1") <= F.col("cell2")) & (F.col("bin2") - F.col("bin1") <= reach) & ~((F.col("bin1") <= near_bins) & (F.col("bin2") <= near_bins)))
-    dealt = binned.join(cells.select("comp", "bin", "parts").distinct(), ["comp", "bin"]).withColumn("cell", F.expr("bin * 1000000L + pmod(xxhash64(id), parts)"))
-    pairs = partners.select("comp", F.col("cell1").alias("left"), F.col("cell2").alias("right"))
+    spread = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = spread.select("comp", F.explode(F.sequence(F.col("bin"), F.col("bin") + reach)).alias("bin"), F.col("bin").alias("bin1"), F.expr("bin * 1000000L + part").alias("left"))
+    partners = left.join(spread.select("comp", "bin", F.expr("bin * 1000000L + part").alias("right")), ["comp", "bin"])
+    partners = partners.filter((F.col("left") <= F.col("right")) & ~((F.col("bin1") <= near_bins) & (F.col("bin") <= near_bins)))
+    dealt = binned.join(cells, ["comp", "bin"]).withColumn("cell", F.expr("bin * 1000000L + pmod(xxhash64(id), parts)"))
+    pairs = partners.select("comp", "left", "right")
     sides = pairs.select("comp", "left", "right", F.col("left").alias("cell"), F.lit(0).alias("side")).unionByName(pairs.filter("left <> right").select("comp", "left", "right", F.col("right").alias("cell"), F.lit(1).alias("side")))
     blocks = dealt.select("comp", "cell", "id", "g", "w").join(sides, ["comp", "cell"])
     across = blocks.groupBy("comp", "left", "right").applyInPandas(_compare(threshold, True), "a long, b long")

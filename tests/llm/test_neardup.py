@@ -36,7 +36,7 @@ def test_samples_agree_as_often_as_the_similarity():
     assert (a == b).mean() == pytest.approx(np.minimum(lo, hi).sum() / np.maximum(lo, hi).sum(), abs=0.03)
 
 
-def brute(rows, common=0.01, threshold=0.8):
+def brute(rows, common=0, threshold=0.8):
     """Classes by all pairs' weighted similarity."""
     texts = [t or "" for _, t in rows]
     vectors = []
@@ -90,8 +90,8 @@ def test_classes_equal_all_pairs(spark, block):
 def test_common_shingles_are_counted_exactly(spark):
     rows = [(i, "one two three four five" + (f" x{i} y{i}" if i % 3 else "")) for i in range(200)] + [(300 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(100)]
     texts = spark.createDataFrame(rows, "i long, __text string").select("__text").repartition(7)
-    h, df = neardup.common_shingles(texts, 300, 0.05)
-    assert df.tolist() == [200] and h.tolist() == neardup.shingles(["one two three four five"])[0].tolist()
+    got = {r["h"]: r["df"] for r in neardup.document_frequency(texts).filter("df >= 15").collect()}
+    assert got == {int(neardup.shingles(["one two three four five"])[0].view("int64")[0]): 200}
 
 
 def test_one_of_each_class_stays(spark, odd_docs, no_docs):
@@ -101,12 +101,15 @@ def test_one_of_each_class_stays(spark, odd_docs, no_docs):
     assert neardup.deduplicate(no_docs).count() == 0 and neardup.classes(no_docs).count() == 0
 
 
-def test_query_covers_all_documents(spark, data):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, data).collect()}
-    assert set(got) == set(docs)
-    want, _ = brute(sorted(docs.items()))
-    assert got == want
+def test_long_texts_make_blocks_of_their_own(spark, monkeypatch):
+    """Components of few but long texts are compared in blocks too, with the same classes."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(900)]
+    rows = [(i, " ".join(f"new{i}" if j == 50 * (i % 17) else w for j, w in enumerate(base))) for i in range(40)]
+    want, close = brute(rows)
+    monkeypatch.setattr(neardup, "MASS", 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not close and {r["id"]: r["class_id"] for r in neardup.classes(df, bands=30, rows=2).collect()} == want
 
 
 def test_rare_shingles_weigh_by_their_own_counts(spark, monkeypatch):
@@ -115,8 +118,8 @@ def test_rare_shingles_weigh_by_their_own_counts(spark, monkeypatch):
     passage = " ".join(f"pas{i}" for i in range(30))
     rows = [(0, own), (1, f"{own} {passage}")] + [(2 + i, f"{passage} tail{i} " + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(8)]
     rows += [(100 + i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(1190)]
-    want, close = brute(rows, common=0)
-    assert not close and want[1] == 0 and brute(rows)[0][1] == 1
+    want, close = brute(rows)
+    assert not close and want[1] == 0 and brute(rows, common=0.01)[0][1] == 1
     monkeypatch.setattr(neardup, "BUCKET", 1 << 12)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r["id"]: r["class_id"] for r in neardup.classes(df, bands=30, rows=2).collect()} == want
@@ -126,12 +129,12 @@ def test_every_shingle_is_counted(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(150)]
     monkeypatch.setattr(neardup, "BUCKET", 300)
-    h, df = neardup.common_shingles(spark.createDataFrame(rows, "i long, __text string").select("__text").repartition(7), 150, 0)
-    want = Counter(x for _, t in rows for x in neardup.shingles([t])[0].tolist())
-    assert dict(zip(h.tolist(), df.tolist(), strict=True)) == want
+    counted = neardup.document_frequency(spark.createDataFrame(rows, "i long, __text string").select("__text").repartition(7))
+    want = Counter(x for _, t in rows for x in neardup.shingles([t])[0].view("int64").tolist())
+    assert {r["h"]: r["df"] for r in counted.collect()} == want
 
 
 def test_query_equals_all_pairs_with_true_counts(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    want, close = brute(sorted(rows), common=0)
+    want, close = brute(sorted(rows))
     assert not close and {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, data).collect()} == want

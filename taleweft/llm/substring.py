@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, without
 from .lyndon import suffix_array
@@ -302,21 +303,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows (row, doc, body) whose ``doc`` stands for one body; where an id has several, all are numbered anew in order."""
+    keys = stored(rows.select("doc", F.xxhash64("body").alias("h")).distinct())
+    if keys.groupBy("doc").count().filter("count > 1").isEmpty():
+        return rows
+    ranged = stored(keys.repartitionByRange("doc", "h").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("doc", "h")
+    numbered = ranged.join(F.broadcast(offsets), "part").select("doc", "h", (F.col("before") + F.row_number().over(inside)).alias("number"))
+    return rows.withColumn("h", F.xxhash64("body")).join(numbered, ["doc", "h"]).select("row", F.col("number").alias("doc"), "body")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, gram: int = 48) -> DataFrame:
     """All rows of ``docs`` without the text, with ``n_bytes``, ``spans`` (removed; array of
     struct(start, end), in bytes, maximal) and ``kept`` (the bytes that stay).
 
     Null texts are empty; texts shorter than ``length`` bytes lose nothing. Ids are longs; a
     null one counts as the greatest. Rows that repeat an id and text are judged as one
-    document. Input columns of the result's names are replaced; an empty table gives no rows.
+    document; different texts of one id (or of none) are documents in order of a hash of them.
+    Input columns of the result's names are replaced; an empty table gives no rows.
     """
     if not 8 <= gram < length <= 1000:
         raise ValueError("need 8 <= gram < length <= 1000")
     spark = docs.sparkSession
     kept = without(docs, *(x for x in ("n_bytes", "spans", "kept") if x != text))
+    row = F.struct(*[f"`{c}`" for c in kept.columns if c.lower() != text.lower()]).alias("row")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
-    bodies = kept.select(doc, body)
+    rows = _apart(kept.select(row, doc, body))
+    bodies = rows.select("doc", "body")
     marked = bodies.mapInArrow(_anchored(length, gram), "h long, c long, doc long, at long, again boolean")
     met = stored(marked.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_met, "h long, part long, doc long, at long"))
     release(spark)
@@ -331,7 +349,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     merged = heads.join(firsts, ["w1", "w2"]).filter(F.struct("doc", "lo") != F.col("first")).select("doc", "lo", F.col("lo").alias("hi"))
     ranges = whole.unionByName(compared.filter("w1 IS NULL").select("doc", "lo", "hi")).unionByName(merged)
     per_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    rows = kept.select(F.struct(*[f"`{c}`" for c in kept.columns if c.lower() != text.lower()]).alias("row"), doc, body)
     joined = rows.join(per_doc, "doc", "left").select("row", "body", "ranges")
     schema = joined.select("row").withColumn("spans", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))).withColumn("kept", F.lit(b"")).schema
     done = joined.mapInArrow(_cut(length), schema)

@@ -86,3 +86,16 @@ def test_repeated_rows_keep_their_text(spark):
     text = "".join(rng.choice("abcdef") for _ in range(400))
     got = substring.deduplicate(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string"))
     assert sorted((r["doc_id"], len(r["kept"])) for r in got.collect()) == [(1, 400), (1, 400), (2, 0)]
+
+
+def test_different_texts_of_one_id(spark):
+    """Each is a document of its own: a passage that two of them share goes once, and nothing else does."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(150)
+    rows = [(1, text(299) + "1" + passage), (1, text(500)), (1, passage + "2" + text(39)), (None, text(200)), (None, text(199) + "3" + passage), (0, text(90))]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 6 and sum(r["n_bytes"] - len(r["kept"]) for r in got) == 300
+    assert [len(r["kept"]) for r in got if r["doc_id"] is None and r["n_bytes"] == 350] == [200]
+    sizes = {r["n_bytes"]: len(r["kept"]) for r in got if r["doc_id"] == 1}
+    assert sizes[500] == 500 and sorted((sizes[450], sizes[190])) in ([40, 450], [190, 300])

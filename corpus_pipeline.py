@@ -1,7 +1,9 @@
 """The training-data pipeline over ``documents``: five stages that each apply one operator.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
-as the next stage's docs. All but the last return the columns of ``documents``.
+as the next stage's docs. All but the last return the columns of ``documents``. In every stage
+a null text counts as empty, repeated rows are rows like others until the near-duplicate
+stage, columns beside those of ``documents`` pass through, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,15 +19,23 @@ QUALITY = 0.3
 SHARDS = 8
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one where ``docs`` has such a column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: those that score QUALITY or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.classify(docs, quality.train(docs, labels), score="__score")
-    return scored.filter(F.col("__score") >= QUALITY).drop("__score")
+    score = _free("__score", docs)
+    scored = quality.classify(docs, quality.train(docs, labels), score=score)
+    return scored.filter(F.col(score) >= QUALITY).drop(score)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest id."""
+    """One document of each near-duplicate class: that of the smallest id; rows without an id all stay."""
     return neardup.deduplicate(docs)
 
 
@@ -35,13 +45,15 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be never."""
-    mixed = mixing.mix(docs.withColumn("__words", mixing.word_count(F.col("text"))), size="__words", copies="__copies", target="__target", source_size="__source_size")
-    return mixed.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, which may be never; a null source is one of its own."""
+    words, copies, target, whole = (_free(x, docs) for x in ("__words", "__copies", "__target", "__source_size"))
+    mixed = mixing.mix(docs.withColumn(words, mixing.word_count(F.col("text"))), size=words, copies=copies, target=target, source_size=whole)
+    taken = mixed.filter(F.col(copies) > 0)
+    return taken.withColumn(words, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def share_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row in one of the shards, with its slot there."""
+    """Every row in one of the shards, with its slot there; equal rows are placed independently."""
     return sharding.shard(docs, SHARDS)
 
 

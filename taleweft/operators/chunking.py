@@ -16,7 +16,7 @@ from ..functions.vectors import cosine_distance
 
 CHUNK_SIZE, OVERLAP = 1000, 50
 # Fixed value: a chapter heading at the start of a line, with its number or word.
-HEADING = r"^\s*(CHAPTER)\s+(\d+|\w+)"
+HEADING = r"^\s*(CHAPTER)\s+(\d+|\w+)"  # \w are letters of all scripts
 
 
 def lines(books: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def lines(books: DataFrame) -> DataFrame:
     its book. Lines lose their heading and leading non-word characters. ``books`` has
     book_filename, book_number and text, a row per book.
     """
-    joined = F.regexp_replace("text", f"(?im){HEADING}", "$1 $2")
+    joined = F.regexp_replace("text", f"(?imU){HEADING}", "$1 $2")
     rows = books.select("book_filename", "book_number", F.posexplode(F.split(joined, r"\r?\n")).alias("line_no", "__raw")).withColumn("__raw", F.regexp_replace("__raw", r"(?U)^\s+|\s+$", "")).filter("__raw <> ''")
     so_far = Window.partitionBy("book_filename").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("__raw").rlike(f"(?i){HEADING}")
+    heading = F.col("__raw").rlike(f"(?iU){HEADING}")
     ended = F.max(F.lower("__raw").startswith("glossary")).over(so_far)
     numbered = rows.withColumns({"chapter_number": F.sum(heading.cast("int")).over(so_far).cast("int"), "__ended": ended}).filter(~F.col("__ended"))
-    bare = F.regexp_replace(F.regexp_replace("__raw", f"(?i){HEADING}", ""), r"(?U)^\W+", "")
+    bare = F.regexp_replace(F.regexp_replace("__raw", f"(?iU){HEADING}", ""), r"(?U)^\W+", "")
     return numbered.select("book_filename", "book_number", "chapter_number", "line_no", bare.alias("line"))
 
 
@@ -98,13 +98,21 @@ def book_position(chunks: DataFrame, overlap: int = OVERLAP, total: str | None =
 
 
 def sentence_context(text: Column, width: int = 1) -> Column:
-    """Each sentence with ``width`` neighbours on either side, as an array; no rows are moved."""
-    all_ = sentences(text)
-    return F.transform(all_, lambda s, i: F.array_join(F.slice(all_, F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width)) + 1 + width), " "))
+    """Each sentence with ``width`` neighbours on either side, as an array; no rows are moved.
+
+    The sentences are bound once, as the one element of an array, so that a text is split once.
+    """
+    near = lambda all_: F.transform(all_, lambda s, i: F.array_join(F.slice(all_, F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width)) + 1 + width), " "))
+    return F.element_at(F.transform(F.array(sentences(text)), near), 1)
 
 
-def adjacent_distance(rows: DataFrame, per: Sequence[str], order: str, embedding: str = "embedding") -> DataFrame:
-    """Rows with ``distance``, the cosine distance to the next row of the group; null for its last."""
+def adjacent_distance(rows: DataFrame, per: Sequence[str], order: str, embedding: str = "embedding", need_two: bool = False) -> DataFrame:
+    """Rows with ``distance``, the cosine distance to the next row of the group; null for its last.
+
+    With ``need_two``, a group of one row is a ValueError.
+    """
+    if need_two and (alone := rows.groupBy(*per).count().filter("count < 2").limit(1).collect()):
+        raise ValueError(f"a distance needs two rows: {alone[0].asDict()}")
     return rows.withColumn("distance", cosine_distance(F.col(embedding), F.lead(embedding).over(Window.partitionBy(*per).orderBy(order))))
 
 

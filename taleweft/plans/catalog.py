@@ -120,7 +120,7 @@ def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guarded(spark: SparkSession, sf_dir: str, f: ContextFilters) -> DataFrame:
-    return apply_filters(t.positioned(spark, sf_dir), f).select("chunk_key", "book_number", "chapter_number", "book_position")
+    return apply_filters(t.chunks(spark, sf_dir), f).select("chunk_key", "book_number", "chapter_number", "book_position")
 
 
 GUARD = f"WITH {t.POSITIONED} SELECT chunk_key, book_number, chapter_number, book_position FROM positioned WHERE "
@@ -243,7 +243,7 @@ def leaves_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label")
-    return hierarchy.cluster_summaries(t.positioned(spark, sf_dir).join(v, "doc_id"), ["label"])
+    return hierarchy.cluster_summaries(t.chunks(spark, sf_dir).join(v, "doc_id"), ["label"])
 
 
 CLUSTERED = f"WITH {t.POSITIONED}, member AS (SELECT p.*, label FROM positioned p JOIN embeddings e ON e.vec_id = p.doc_id) "
@@ -261,7 +261,7 @@ def cluster_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("book_position", f"WITH {t.POSITIONED} SELECT chunk_key, book_position FROM positioned")
 def book_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.positioned(spark, sf_dir).select("chunk_key", "book_position")
+    return t.chunks(spark, sf_dir).select("chunk_key", "book_position")
 
 
 def _small_book(spark: SparkSession) -> DataFrame:

@@ -280,3 +280,50 @@ def test_levels_build_a_tree(spark):
     assert len({r["child_key"] for r in links}) == len(links)  # one parent at most
     assert everything.filter("level > 1").count() == len({r["parent_key"] for r in links})
     assert everything.filter(~tx.complete_key(F.col("chunk_key"))).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_in_any_layout(spark, parts):
+    import random
+
+    from taleweft.operators.running import running
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, x long").repartition(parts)
+    got = {r["i"]: (r["s"], r["s_total"], r["n"]) for r in running(df.withColumn("one", F.lit(1)), ["g"], ["i"], {"s": "x", "n": "one"}).collect()}
+    for g, i, _ in rows:
+        same = [(j, x) for h, j, x in rows if h == g]
+        assert got[i] == (sum(x for j, x in same if j <= i), sum(x for _, x in same), sum(j <= i for j, _ in same))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from taleweft.sources.workspace import work_dir
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        work_dir(away)
+
+
+def test_sentence_context_splits_a_text_once(spark):
+    import time
+
+    text = "A short one. " * 40_000
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(chunking.sentence_context(F.col("text"))).alias("c"))
+    assert rows.agg(F.count("*"), F.max(F.length("c"))).first() == (40_000, 38)
+    assert time.perf_counter() - began < 20
+
+
+def test_a_distance_needs_two_rows(spark):
+    one = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, [1.0])], "g int, i int, embedding array<double>")
+    with pytest.raises(ValueError, match="two rows"):
+        chunking.adjacent_distance(one, ["g"], "i", need_two=True)
+    assert chunking.adjacent_distance(one.filter("g = 1"), ["g"], "i", need_two=True).count() == 2
+
+
+def test_headings_of_all_scripts(spark):
+    book = spark.createDataFrame([("1_b.txt", 1, "before\nChapter Élan\nafter")], "book_filename string, book_number int, text string")
+    assert {r["chapter_number"]: r["full_text"] for r in chunking.chapters(chunking.lines(book)).collect()} == {0: "before ", 1: " after "}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Shape of a complete chunk id, anchored at its start.
+# Fixed value: the shape of a complete chunk id, anchored at its start.
 KEY_SHAPE = r"^series_\d+\|book_\d+\|chapter_\d+\|level_\d+\|chunk_\d+"
 
 
@@ -29,6 +32,7 @@ def complete_key(key: Column) -> Column:
 
 
 def context_line(book: Column, chapter: Column, text: Column) -> Column:
+    # Fixed value: the form of a context line.
     return F.format_string("Book %d, Chapter %d: %s", book, chapter, text)
 
 
@@ -53,7 +57,28 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: s != "")
 
 
+# The openings of plain questions.
+PLAIN = (r"^what (is|are|was|were) the", r"^(can|could) you explain", r"^tell me (about|what)")
+
+
 def simple_question(question: Column) -> Column:
     """Whether a question opens in one of the plain ways."""
-    q = F.lower(question)
-    return q.rlike(r"^what (is|are|was|were) the") | q.rlike(r"^(can|could) you explain") | q.rlike(r"^tell me (about|what)")
+    asked = F.lower(question)
+    return F.coalesce(reduce(or_, [asked.rlike(p) for p in PLAIN]), F.lit(False))
+
+
+def log_text(question: str, most: int = 100) -> str:
+    """What a log shows of a question."""
+    return question[:most]
+
+
+def flattened(nested: Column, depth: int) -> Column:
+    """The items of an array nested ``depth`` levels below its own, in their order; null arrays are skipped."""
+    for _ in range(depth):
+        nested = F.flatten(F.filter(nested, lambda x: x.isNotNull()))
+    return nested
+
+
+def patched(df: DataFrame, **values: object) -> DataFrame:
+    """Rows with new values for the columns that there are; other names are ignored."""
+    return df.withColumns({k: F.lit(v).cast(df.schema[k].dataType) for k, v in values.items() if k in df.columns})

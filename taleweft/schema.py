@@ -36,8 +36,6 @@ TREE_CHUNK = T.StructType([
 #: book file -> chapter_k -> level_l -> nodes.
 TREE = T.MapType(T.StringType(), T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(TREE_CHUNK))))
 
-EDGES = T.StructType([T.StructField("child_key", T.StringType()), T.StructField("parent_key", T.StringType()), T.StructField("level", T.IntegerType())])
-
 CONTEXT = T.StructType([
     T.StructField("chunk_id", T.StringType()), T.StructField("book_number", T.IntegerType()),
     T.StructField("chapter_number", T.IntegerType()), T.StructField("chunk", T.StringType()),
@@ -58,4 +56,5 @@ SERIES = T.StructType([
     ]))),
 ])
 
-CHUNK_SCORES = T.ArrayType(T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("score", T.DoubleType())]))
+#: A reply that scores chunks.
+CHUNK_SCORES = T.StructType([T.StructField("chunk_scores", T.ArrayType(T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("score", T.IntegerType())]))), T.StructField("secondary_query", T.StringType())])

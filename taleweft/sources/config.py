@@ -11,22 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .readers import read_series
 
-# The keys that a settings file must have.
-REQUIRED = (
-    "OPENAI_API_KEY", "CHROMA_PATH", "SERIES_PATH", "ENTITIES_PATH", "N_CHUNKS", "REDIS_URL", "RAPTOR_COLLECTION", "REDIS_EXPIRE", "PROMPTS_PATH", "COMPLETION_MODEL",
-    "COMPLETION_TEMPERATURE", "COMPLETION_MAX_TOKENS",
-)
+# The keys of a settings file that the engine uses.
+REQUIRED = ("SERIES_PATH", "N_CHUNKS", "REDIS_EXPIRE", "PROMPTS_PATH")
 
 
 def load(path: str | Path) -> Any:
-    """A JSON or, where a YAML reader is installed, YAML file."""
+    """A JSON or YAML file; YAML without a library for it is read by :mod:`.plainyaml`."""
     text = Path(path).read_text()
     if str(path).endswith(".json"):
         return json.loads(text)
     try:
         import yaml
-    except ImportError as e:
-        raise ValueError(f"no YAML reader for {path}; use JSON") from e
+    except ImportError:
+        from . import plainyaml
+
+        return plainyaml.load(text)
     return yaml.safe_load(text)
 
 

@@ -1,0 +1,121 @@
+"""The part of YAML that settings, series and prompt files use, where no YAML library is installed.
+
+Nested maps and lists by indentation, quoted and plain scalars, flow lists of scalars, block
+scalars (``|`` keeps lines, ``>`` folds them) and comments. Anchors, tags and flow maps aren't read.
+"""
+
+from __future__ import annotations
+
+import re
+from typing import Any
+
+KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#'"\[{-][^#]*?|-[^\s#][^#]*?)\s*:(?:\s+(.*))?$""")
+
+
+def scalar(text: str) -> Any:
+    text = text.strip()
+    if text[:1] == '"':
+        return text[1:-1].encode().decode("unicode_escape") if "\\" in text else text[1:-1]
+    if text[:1] == "'":
+        return text[1:-1].replace("''", "'")
+    if text[:1] == "[" and text[-1:] == "]":
+        return [scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    text = re.sub(r"\s+#.*$", "", text)
+    if text in ("", "~", "null", "Null", "NULL"):
+        return None
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.lines = text.replace("\t", "    ").split("\n")
+        self.at = 0
+
+    def peek(self) -> tuple[int, str] | None:
+        """Indentation and content of the next line that has content."""
+        while self.at < len(self.lines):
+            line = self.lines[self.at]
+            if line.strip() and not line.lstrip().startswith("#") and line.strip() != "---":
+                return len(line) - len(line.lstrip()), line.strip()
+            self.at += 1
+        return None
+
+    def block(self, indent: int, style: str) -> str:
+        rows: list[str] = []
+        inner = None
+        while self.at < len(self.lines):
+            line = self.lines[self.at]
+            depth = len(line) - len(line.lstrip())
+            if line.strip():
+                if depth <= indent:
+                    break
+                inner = depth if inner is None else inner
+            rows.append(line[inner or 0 :].rstrip() if line.strip() else "")
+            self.at += 1
+        while rows and not rows[-1]:
+            rows.pop()
+        end = "" if style.endswith("-") else "\n"
+        if style[0] == "|":
+            return "\n".join(rows) + end
+        out = ""
+        for i, row in enumerate(rows):  # a line break is a space, but beside empty and deeper lines
+            before = rows[i - 1] if i else ""
+            plain = row and before and not row.startswith(" ") and not before.startswith(" ")
+            out += (" " if plain else "\n" if i and (not row or row.startswith(" ") or before.startswith(" ")) else "") + row
+        return out + end
+
+    def value(self, rest: str | None, indent: int) -> Any:
+        """What follows a key or a dash of that indentation."""
+        if rest and re.fullmatch(r"[|>][+-]?", rest.strip()):
+            return self.block(indent, rest.strip())
+        if rest and rest.strip() and not rest.strip().startswith("#"):
+            return scalar(rest)
+        nxt = self.peek()
+        if nxt and (nxt[0] > indent or nxt[0] == indent and nxt[1].startswith("- ")):
+            return self.node(nxt[0])
+        return None
+
+    def node(self, indent: int) -> Any:
+        first = self.peek()
+        return None if first is None else self.items(indent) if first[1] == "-" or first[1].startswith("- ") else self.map(indent)
+
+    def items(self, indent: int) -> list[Any]:
+        out = []
+        while (nxt := self.peek()) and nxt[0] == indent and (nxt[1] == "-" or nxt[1].startswith("- ")):
+            rest = nxt[1][1:].lstrip()
+            if KEY.match(rest) and rest[:1] not in "\"'" or re.match(r"""["'][^"']*["']\s*:\s""", rest):
+                deeper = indent + len(nxt[1]) - len(rest)
+                self.lines[self.at] = " " * deeper + rest  # a map that starts on the dash's line
+                out.append(self.map(deeper))
+            else:
+                self.at += 1
+                out.append(self.value(rest, indent))
+        return out
+
+    def map(self, indent: int) -> dict[str, Any]:
+        out = {}
+        while (nxt := self.peek()) and nxt[0] == indent and not nxt[1].startswith("- "):
+            m = KEY.match(nxt[1])
+            if not m:
+                raise ValueError(f"line {self.at + 1} is no key: {nxt[1]}")
+            self.at += 1
+            out[str(scalar(m[1]))] = self.value(m[2], indent)
+        return out
+
+
+def load(text: str) -> Any:
+    reader = _Reader(text)
+    first = reader.peek()
+    if first is None:
+        return None
+    out = reader.node(first[0])
+    if (rest := reader.peek()) is not None:
+        raise ValueError(f"line {reader.at + 1} doesn't belong to what comes before: {rest[1]}")
+    return out

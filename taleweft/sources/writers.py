@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.conversation import TTL_SECONDS, feedback_line
@@ -38,6 +38,11 @@ def append_new(new: DataFrame, existing: DataFrame, path: str) -> None:
     only_new(new, existing).write.mode("append").partitionBy("series_id", "book_number").parquet(path)
 
 
+def chunk_json(chunks: DataFrame, metadata: tuple[str, ...]) -> Column:
+    """Column: a chunk as JSON with its metadata, nulls kept."""
+    return F.to_json(F.struct("chunk_key", "text", F.struct(*[c for c in metadata if c in chunks.columns]).alias("metadata")), {"ignoreNullFields": "false"})
+
+
 def write_chunk_tree(chunks: DataFrame, path: str, compress: bool = True) -> None:
     """One line per book in a folder per book: {book_file: {chapter: {level: [chunk, ...]}}}.
 
@@ -68,6 +73,17 @@ def append_feedback(rows: DataFrame, path: str) -> None:
     rows.select(F.to_date("ts").alias("day"), feedback_line(F.col("request_id"), F.col("feedback"), F.col("kind")).alias("value")).write.mode("append").partitionBy("day").text(path)
 
 
+def prune_feedback(spark: SparkSession, path: str, keep: int = 30) -> list[str]:
+    """Delete all but the last ``keep`` days of a feedback folder; gives the days that went."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted(x.getPath().getName() for x in store.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith("day="))
+    gone = days[: max(0, len(days) - keep)]
+    for day in gone:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}"), True)
+    return [d.removeprefix("day=") for d in gone]
+
+
 def quality_matrix(answers: DataFrame, books: list[int]) -> DataFrame:
     """A row per question, a column per book: the first answer in order of ``chunk_key``."""
     cells = [F.min_by(F.when(F.col("book_number") == b, F.col("answer")), F.when(F.col("book_number") == b, F.col("chunk_key"))).alias(f"book_{b}") for b in books]

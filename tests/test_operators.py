@@ -8,7 +8,9 @@ from taleweft.functions import text as tx
 from taleweft.operators import catalog, chunking, conversation, hierarchy
 from taleweft.operators.predicates import ContextFilters, apply_filters, before_chapter, predicate
 from taleweft.plans import tables as t
+from taleweft.plans import ask as asking
 from taleweft.plans.ask import NO_ANSWER, Library, ask
+from taleweft.plans.facade import Storyteller, check_request
 from taleweft.plans.ingest import ingest, semantic_chunks, store
 from taleweft.sources import config, readers, writers
 from taleweft.streaming.sessions import lifetimes
@@ -249,8 +251,51 @@ def test_settings(tmp_path):
     with pytest.raises(KeyError):
         got.prompt("other")
     assert config.Settings.of(values, sparse=True).prompts == {}
-    with pytest.raises(ValueError, match="N_CHUNKS, REDIS_URL"):
-        config.Settings.of({k: v for k, v in values.items() if k not in ("N_CHUNKS", "REDIS_URL")})
+    with pytest.raises(ValueError, match="N_CHUNKS, REDIS_EXPIRE"):
+        config.Settings.of({k: v for k, v in values.items() if k not in ("N_CHUNKS", "REDIS_EXPIRE")})
+
+
+def test_yaml_settings(spark, tmp_path):
+    from taleweft.sources import plainyaml
+
+    text = """# settings
+N_CHUNKS: 15   # how many
+SERIES_PATH: '{0}/series.yml'
+PROMPTS_PATH: "{0}/prompts.yml"
+REDIS_EXPIRE: 86400
+COMPLETION_TEMPERATURE: 0.5
+OTHER_URL: 'redis://localhost:6379/0'
+"""
+    (tmp_path / "c.yml").write_text(text.replace("{0}", str(tmp_path)))
+    (tmp_path / "series.yml").write_text("""- series_id: 1
+  series_name: 'The Salt''s Roads'
+  series_metadata_name: salt_roads
+  entity_settings:
+    names_to_skip:
+      - 'light'
+      - my dear
+    person_titles: [doctor, 'dame']
+  books:
+    - number_in_series: 1
+      title: "A Lantern: at Low Tide"
+      book_metadata_name: 01_lantern
+      number_of_chapters: 12
+    - number_in_series: 2
+      title: Second
+- series_id: 2
+  series_name: Other
+  books: []
+""")
+    (tmp_path / "prompts.yml").write_text("greet:\n  - role: system\n    prompt: >\n      You help\n      readers.\n\n      # Goal\n      Be {kind}.\n  - role: user\n    prompt: |\n      a\n        b\nother:\n- role: x\n  prompt: y\n")
+    got = config.Settings.from_file(tmp_path / "c.yml")
+    assert (got.n_chunks, got.ttl_seconds, got.values["COMPLETION_TEMPERATURE"], got.values["OTHER_URL"]) == (15, 86400, 0.5, "redis://localhost:6379/0")
+    rows = got.series_frame(spark).orderBy("series_id").collect()
+    assert rows[0]["series_name"] == "The Salt's Roads" and tuple(rows[0]["entity_settings"]) == (["light", "my dear"], ["doctor", "dame"])
+    assert [b["title"] for b in rows[0]["books"]] == ["A Lantern: at Low Tide", "Second"] and rows[1]["books"] == []
+    assert got.prompt("greet") == [{"role": "system", "content": "You help readers.\n# Goal Be {kind}.\n"}, {"role": "user", "content": "a\n  b\n"}]
+    assert got.prompt("other") == [{"role": "x", "content": "y"}]
+    with pytest.raises(ValueError, match="no key"):
+        plainyaml.load("a: 1\nnonsense\n")
 
 
 def test_matrix_page():
@@ -327,3 +372,116 @@ def test_a_distance_needs_two_rows(spark):
 def test_headings_of_all_scripts(spark):
     book = spark.createDataFrame([("1_b.txt", 1, "before\nChapter Élan\nafter")], "book_filename string, book_number int, text string")
     assert {r["chapter_number"]: r["full_text"] for r in chunking.chapters(chunking.lines(book)).collect()} == {0: "before ", 1: " after "}
+
+
+def a_library(spark):
+    texts = ["the lighthouse was dark", "the harbour slept", "a lamp in the lighthouse", "nobody rowed"]
+    key = lambda c, level=1, i=0: f"series_1|book_{1 + c // 2}|chapter_{c % 2}|level_{level}|chunk_{i}"
+    rows = [(key(c), 1, 1 + c // 2, c % 2, 1, False, text, providers.embed_query(text)) for c, text in enumerate(texts)]
+    rows.append((key(0, 2), 1, 1, 0, 2, True, "the coast in an overview", providers.embed_query("the coast in an overview")))
+    chunks = spark.createDataFrame(rows, "chunk_key string, series_id int, book_number int, chapter_number int, level int, is_summary boolean, text string, embedding array<double>")
+    return Library(chunks, spark.createDataFrame([(key(0), key(0, 2), 2), (key(1), key(0, 2), 2)], "child_key string, parent_key string, level int"))
+
+
+class Chooses(providers.LocalDecisions):
+    def __init__(self, similar=True, by_meaning=True):
+        super().__init__()
+        self.similar, self.by_meaning = similar, by_meaning
+
+    def prefer_similar(self, question, similar, keyword):
+        return self.similar
+
+    def strategy(self, question):
+        return "exact", self.by_meaning
+
+
+def test_results_are_chosen_and_cut(spark):
+    library, everything = a_library(spark), ContextFilters(series_id=1, book_number=9, chapter_number=0)
+    choose = lambda d, n=5, gated=False: asking.choose(library, "lighthouse the", everything, d, n, gated)
+    assert len(choose(Chooses())) == 5  # similarity finds all
+    words = choose(Chooses(by_meaning=False))
+    assert words[:2] == ["series_1|book_1|chapter_0|level_1|chunk_0", "series_1|book_2|chapter_0|level_1|chunk_0"] and len(words) == 4
+    assert choose(Chooses(similar=False), 2) == words[:2]
+    assert choose(Chooses(by_meaning=False), 1, gated=True) == words[:2]  # a batch is scored whole
+
+
+def test_relevance_gate_and_replies(spark):
+    from taleweft.operators import relevance
+
+    key = "series_1|book_1|chapter_0|level_1|chunk_0"
+    replies = ['{"chunk_scores": [{"chunk_id": "%s", "score": 6}, {"chunk_id": "x", "score": 9}, {"chunk_id": "%s", "score": 5}], "secondary_query": null}' % (key, key), "not json", '{"chunk_scores": [{"chunk_id": 3}]}', '{"other": 1}']
+    assert [relevance.passed(r) for r in replies] == [[key], [], [], []]
+    df = spark.createDataFrame([(r,) for r in replies], "reply string").select(F.inline(relevance.scores(F.col("reply"))))
+    assert [tuple(r) for r in relevance.gate(df, key="chunk_id").collect()] == [(key, 6)]
+    asked = []
+    score = lambda part: asked.append(len(part)) or '{"chunk_scores": [%s]}' % ",".join('{"chunk_id": "%s", "score": 7}' % k for k, _ in part[:4])
+    assert len(relevance.in_batches([(key, "t")] * 45, score, 7)) == 8 and asked == [10, 10]
+
+
+def test_a_point_in_the_question_moves_the_guard(spark):
+    d = providers.LocalDecisions()
+    reader = ContextFilters(series_id=1, book_number=1, chapter_number=1)
+    assert d.temporal("who first rowed").order == "chronological" and d.temporal("where is it now").order == "reverse"
+    point = asking.at_moment(reader, d.temporal("what happens in book 2 chapter 1"))
+    assert (point.specific_point, point.book_number, point.chapter_number) == (True, 2, 1)
+    assert asking.at_moment(reader, providers.Moment("specific_point", 2, 3, 0.5)) == ContextFilters(series_id=1, book_number=2, book_position=0.5, specific_point=True)
+    assert asking.at_moment(reader, d.temporal("who rowed")) == reader
+    library = a_library(spark)
+    shown = asking.retrieve(library, "the lamp in book 2 chapter 1", reader)
+    assert {(r["book_number"], r["chapter_number"]) for r in shown.collect()} == {(2, 0)}
+
+
+def test_follow_ups_are_found_once(spark):
+    library, cache, calls = a_library(spark), asking.ChunkCache(2), []
+
+    class Counts(providers.LocalDecisions):
+        def follow_up(self, question, history):
+            calls.append(question)
+            return super().follow_up(question, history)
+
+    f = ContextFilters(series_id=1, book_number=9, chapter_number=0)
+    history = [("the lighthouse", "dark")]
+    for q in ("was it lit", "was it lit", "by whom", "since when", "was it lit"):
+        assert len(asking.follow_up_contexts(library, q, f, history, cache, Counts(), 2)) == 2
+    assert calls == ["was it lit", "by whom", "since when", "was it lit"] and len(cache.held) == 2
+    assert asking.by_query(library, "the coast", f, 9, exclude_summaries=True).count() == 4
+    assert asking.without_context("what is the moon") is None
+
+
+def test_a_conversation_goes_on(spark, tmp_path):
+    teller = Storyteller(a_library(spark), str(tmp_path))
+    text, contexts, none, entities, conversation_id = teller.invoke("the lighthouse dark", 2, 0, 1)
+    assert "Book 1, Chapter 0: the lighthouse was dark" in text and none is None and entities == []
+    assert set(contexts.columns) == {"chunk_id", "book_number", "chapter_number", "chunk"}
+    seen = []
+
+    class Refines(providers.LocalDecisions):
+        def refine(self, question, history):
+            seen.append(history)
+            return question
+
+    teller.decisions = Refines()
+    teller.invoke("and the harbour", 2, 0, 1, conversation_id)
+    assert seen == [[("the lighthouse dark", text)]]
+    turns = teller.turns(conversation_id)
+    assert [(t["sequence"], t["question"]) for t in turns] == [(0, "the lighthouse dark"), (1, "and the harbour")] and turns[0]["context"][0]["chunk"]
+    assert teller.cost(conversation_id) == "$0.0000" and teller.log == ["question: the lighthouse dark", "question: and the harbour"]
+    assert teller.turns(conversation_id, F.lit("2999-01-01").cast("timestamp")) == []
+    with pytest.raises(ValueError, match="chapter_number"):
+        check_request({"question": "q", "book_number": 1, "series_id": 1})
+
+
+def test_small_things(spark, tmp_path):
+    df = spark.createDataFrame([([[["a"], None], None, [["b", "c"], []]], "x")], "n array<array<array<string>>>, level string")
+    assert df.select(tx.flattened(F.col("n"), 2).alias("f")).first()["f"] == ["a", "b", "c"]
+    assert tx.patched(df, level="y", other=1).first()["level"] == "y"
+    assert len(tx.log_text("q" * 300)) == 100
+    flat = spark.createDataFrame([(["k"], ["low"], [("Low", "a,b", "", 3)])], "ids array<string>, documents array<string>, metadatas array<struct<full_chunk:string,parents:string,children:string,level:int>>")
+    want = {"chunk_key": "k", "text": "Low", "level": 3, "parents": ["a", "b"], "children": []}
+    assert readers.from_result(flat).first().asDict() == want
+    nested = flat.select(*[F.array(c).alias(c) for c in flat.columns])
+    assert readers.from_result(nested, nested=True).first().asDict() == want
+    assert [f.name for f in readers.as_rows(readers.from_result(flat)).schema["metadata"].dataType] == ["level", "parents", "children"]
+    for day in ("2024-03-01", "2024-03-02", "2024-03-03"):
+        (tmp_path / f"day={day}").mkdir()
+    assert writers.prune_feedback(spark, str(tmp_path), 2) == ["2024-03-01"] and not (tmp_path / "day=2024-03-01").exists()

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import complete_key, context_block, context_line, sentences
+from ..functions.text import chunk_key, complete_key, context_block, context_line, tokens
 from ..operators import catalog as books
-from ..operators import chunking, cluster, conversation, hierarchy, search, vector
+from ..operators import chunking, cluster, conversation, hierarchy, relevance, search, vector
 from ..operators.predicates import ContextFilters, apply_filters
-from ..providers import hashed_embedding, keep_text
+from ..providers import LocalDecisions, hashed_embedding, keep_text
 from ..sources import readers, writers
+from ..sources.workspace import stored
+from . import book_queries, store_queries  # noqa: F401  they register theirs
 from . import tables as t
-from .ask import Library, retrieve
+from .ask import N_CHUNKS, Library, retrieve
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 WORDS = "that the and of by"
 NEAR = "the of the with"
@@ -22,20 +25,6 @@ RUN = "the and of with"
 QUERY_VECTOR = 7
 EMPTY = "zzqx wiith"
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("chunk_key", "book_number", "chapter_number", F.round("score", 6).alias("score"), "match_type", F.array_join(F.array_sort("matched"), ",").alias("matched"))
 
@@ -62,8 +51,8 @@ def _fuzzy_sql(words: str, source: str) -> str:
     return f"""SELECT chunk_key, book_number, chapter_number, array_to_string(list_sort(list_filter([{names}], lambda x: x IS NOT NULL)), ',') AS matched, ({total}) / {len(kws)}.0::DOUBLE AS score FROM (SELECT *, {flags} FROM {source})"""
 
 
-def _top(body: str, kind: str, matched: str, ctes: str = t.CHUNKS) -> str:
-    return f"WITH {ctes}, scored AS ({body}) SELECT chunk_key, book_number, chapter_number, round(score, 6) AS score, '{kind}' AS match_type, {matched} AS matched FROM scored WHERE score > 0.25 ORDER BY score DESC, chunk_key LIMIT 20"
+def _top(body: str, kind: str, matched: str, ctes: str = t.CHUNKS, most: int = 20) -> str:
+    return f"WITH {ctes}, scored AS ({body}) SELECT chunk_key, book_number, chapter_number, round(score, 6) AS score, '{kind}' AS match_type, {matched} AS matched FROM scored WHERE score > 0.25 ORDER BY score DESC, chunk_key LIMIT {most}"
 
 
 @query("exact_search", _top(_exact_sql(WORDS), "exact", "array_to_string(hit, ',')"))
@@ -71,8 +60,14 @@ def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(t.chunks(spark, sf_dir), WORDS))
 
 
-def _phrase_sql(text: str) -> str:
-    wanted = search.phrases(text)
+@query("top_n_chunks", _top(_exact_sql(WORDS), "exact", "array_to_string(hit, ',')", most=5))
+def top_n_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword results cut to the configured count."""
+    return _shown(search.search(t.chunks(spark, sf_dir), WORDS, max_results=N_CHUNKS))
+
+
+def _phrase_sql(text: str, strict: bool = False) -> str:
+    wanted = search.phrases(text, strict)
     total = " + ".join(f"contains(lower(text), '{p}')::INT" for p in wanted)
     names = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{p}' END" for p in wanted)
     return _top(f"SELECT *, list_sort(list_filter([{names}], lambda x: x IS NOT NULL)) AS hit, ({total}) / {len(wanted)}.0::DOUBLE AS score FROM keyed", "phrase", "array_to_string(hit, ',')")
@@ -88,6 +83,12 @@ def phrase_search_unquoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(t.chunks(spark, sf_dir), RUN, "phrase"))
 
 
+@query("phrase_search_strict", _phrase_sql(RUN, strict=True))
+def phrase_search_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unquoted run of words as a phrase of its own."""
+    return _shown(search.best_first(search.phrase(t.chunks(spark, sf_dir), RUN, strict=True)))
+
+
 @query(
     "proximity_search",
     f"""WITH {t.CHUNKS}, tok AS (SELECT chunk_key, {_tokens()} AS w FROM keyed), long AS (SELECT * FROM tok WHERE len(w) >= 50),
@@ -264,15 +265,6 @@ def book_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.chunks(spark, sf_dir).select("chunk_key", "book_position")
 
 
-def _small_book(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit("01_small.txt").alias("book_filename"), F.lit(1).alias("book_number"), F.lit(t.BOOK).alias("text"))
-
-
-@query("chapter_parse")
-def chapter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chapters(chunking.lines(_small_book(spark)))
-
-
 SENTENCES = r"list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 
@@ -304,15 +296,11 @@ def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.segments(t.vectors(spark, sf_dir), ["label"], "vec_id").select("label", "vec_id", "segment")
 
 
-@query("sentence_pack")
-def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.pack(F.col("text"))).alias("chunk_index", "text"))
-
-
 @query("merge_small")
 def merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a vector as segments of their label, in order of id; small inner ones are joined."""
     v = t.vectors(spark, sf_dir)
-    rows = t.documents(spark, sf_dir).join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("label", "doc_id", F.element_at(sentences(F.col("text")), 1).alias("text"), "embedding")
+    rows = t.documents(spark, sf_dir).join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("label", "doc_id", "text", "embedding")
     numbered = rows.withColumn("segment", hierarchy.next_index(["label"], ["doc_id"])).select("label", "segment", "text", F.col("embedding").cast("array<double>").alias("embedding"))
     return chunking.merge_small(numbered, ["label"]).select("label", "segment", "text")
 
@@ -375,10 +363,18 @@ def quality_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.quality_matrix(rows, [1, 2, 3])
 
 
-@query("score_gate", f"WITH {t.CHUNKS} SELECT chunk_key, doc_id % 10 AS score FROM keyed WHERE doc_id % 10 >= 6")
+GATE_WORDS = "that the and of by to"
+
+
+@query("score_gate", f"WITH {t.CHUNKS}, scored AS (SELECT chunk_key, CAST(floor(9.0 * len(list_intersect({_sql_list(search.keywords(GATE_WORDS))}, list_distinct({_tokens()}))) / 6 + 0.5) AS INTEGER) AS score FROM keyed) SELECT chunk_key, score FROM scored WHERE score >= 6")
 def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.chunks(spark, sf_dir).withColumn("score", F.col("doc_id") % 10)
-    return rows.filter((F.col("score") >= 6) & complete_key(F.col("chunk_key"))).select("chunk_key", "score")
+    """Chunks that a scoring reply lets through: the reply of each is parsed and gated."""
+    words = search.keywords(GATE_WORDS)
+    share = F.size(F.array_intersect(F.array(*map(F.lit, words)), "tokens")) / F.lit(len(words))
+    one = F.struct(F.col("chunk_key").alias("chunk_id"), F.floor(F.lit(float(relevance.MOST)) * share + 0.5).cast("int").alias("score"))
+    replies = t.chunks(spark, sf_dir).select(F.to_json(F.struct(F.array(one).alias("chunk_scores"))).alias("reply"))
+    scored = replies.select(F.inline(relevance.scores(F.col("reply"))))
+    return relevance.gate(scored, key="chunk_id").select(F.col("chunk_id").alias("chunk_key"), "score")
 
 
 @query("keyword_retrieval", f"WITH {t.CHUNKS} SELECT chunk_key FROM keyed WHERE len(list_intersect(['the', 'with', 'from'], list_distinct({_tokens()}))) = 3")
@@ -389,14 +385,42 @@ def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library(spark: SparkSession, sf_dir: str) -> Library:
     """The documents as a library whose summaries are those of the vectors' labels."""
     level_1 = t.chunks(spark, sf_dir).join(t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
-    level_1 = level_1.withColumn("embedding", hashed_embedding()(F.col("text")))
-    made = level_1.filter("label IS NOT NULL").groupBy("label").agg(F.min_by("text", "doc_id").alias("text"), F.min("book_number").alias("book_number"))
-    level_2 = made.select(F.lit(1).alias("series_id"), "book_number", F.lit(0).alias("chapter_number"), F.lit(2).alias("level"), F.col("label").alias("chunk_index"), keep_text(F.col("text")).alias("text"), F.lit(True).alias("is_summary"), "label", F.concat_ws("|", F.lit("series_1"), F.concat(F.lit("book_"), "book_number"), F.lit("chapter_0"), F.lit("level_2"), F.concat(F.lit("chunk_"), "label")).alias("chunk_key"))
-    edges = hierarchy.edges_from_labels(level_1.filter("label IS NOT NULL").select("chunk_key", "label"), level_2, ["label"]).persist()  # every level of a descent reads them
-    columns = ["chunk_key", "series_id", "book_number", "chapter_number", "level", "text", "is_summary"]
-    return Library(level_1.select(*columns, "embedding").unionByName(level_2.withColumn("embedding", hashed_embedding()(F.col("text"))).select(*columns, "embedding")), edges)
+    labelled = level_1.filter("label IS NOT NULL")
+    made = hierarchy.cluster_summaries(labelled, ["label"]).join(labelled.groupBy("label").agg(F.min("book_number").alias("book_number")), "label")
+    level_2 = made.select(F.lit(1).alias("series_id"), "book_number", F.lit(0).alias("chapter_number"), F.lit(2).alias("level"), F.col("label").alias("chunk_index"), keep_text(F.col("text")).alias("text"), F.lit(True).alias("is_summary"), "label", tokens(F.col("text")).alias("tokens"))
+    level_2 = level_2.withColumn("chunk_key", chunk_key(*(F.col(c) for c in ("series_id", "book_number", "chapter_number", "level", "chunk_index"))))
+    columns = ["chunk_key", "series_id", "book_number", "chapter_number", "level", "text", "is_summary", "tokens"]
+    both = stored(level_1.select(*columns).unionByName(level_2.select(*columns)).withColumn("embedding", hashed_embedding()(F.col("text"))))
+    edges = hierarchy.edges_from_labels(labelled.select("chunk_key", "label"), level_2, ["label"])
+    return Library(both, stored(edges))  # each step of a question reads them
 
 
 @query("ask")
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(library(spark, sf_dir), "Give me an overview of that the and", ContextFilters(series_id=1, book_number=6, chapter_number=4), enforce_guard=True)
+
+
+class ByWords(LocalDecisions):
+    """The default decisions, with keywords alone."""
+
+    def strategy(self, question: str) -> tuple[str, bool]:
+        return "exact", False
+
+
+LIBRARY = f"""{t.CHUNKS}, labelled AS (SELECT k.*, label FROM keyed k JOIN embeddings e ON e.vec_id = k.doc_id),
+made AS (SELECT label, min(book_number) AS book_number, string_agg(text, '------' || chr(10) || '------' ORDER BY chunk_key) AS text FROM labelled GROUP BY label),
+summary AS (SELECT concat('series_1|book_', book_number, '|chapter_0|level_2|chunk_', label) AS chunk_key, book_number, 0 AS chapter_number, text, label FROM made),
+shelf AS (SELECT chunk_key, book_number, chapter_number, text FROM keyed UNION ALL SELECT chunk_key, book_number, chapter_number, text FROM summary),
+edge AS (SELECT l.chunk_key AS child_key, s.chunk_key AS parent_key FROM labelled l JOIN summary s USING (label)),
+shown AS (SELECT * FROM shelf WHERE book_number < 6 OR (book_number = 6 AND chapter_number < 4))"""
+
+
+@query(
+    "ask_by_keywords",
+    f"""WITH {LIBRARY}, best AS (SELECT chunk_key FROM ({_exact_sql("the with from and of", "shown")}) WHERE score > 0.25 ORDER BY score DESC, chunk_key LIMIT 20),
+    reached AS (SELECT chunk_key FROM best UNION SELECT child_key FROM edge WHERE parent_key IN (SELECT chunk_key FROM best))
+    SELECT s.chunk_key, s.book_number, s.chapter_number, s.text, format('Book {{}}, Chapter {{}}: {{}}', s.book_number, s.chapter_number, s.text) AS line FROM shelf s JOIN reached USING (chunk_key)""",
+)
+def ask_by_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of a question by the default decisions without similarity: guard, search, choice, descent."""
+    return retrieve(library(spark, sf_dir), "the with from and of", ContextFilters(series_id=1, book_number=6, chapter_number=4), ByWords())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.workspace import stored, work_dir  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,34 +39,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes with the application.
-
-    Only where all of Spark is one process (``local`` masters, as in tests) may the setting be
-    absent: the folder is then below the temporary one. A cluster without it is an error, as
-    executors would write to disks of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/taleweft"
-    path = f"{base.rstrip('/')}/taleweft-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(folder)
-    store.deleteOnExit(folder)
-    return path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold ``max_bytes`` or are one row."""
     for batch in batches:

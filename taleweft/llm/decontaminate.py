@@ -270,6 +270,6 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that hold a benchmark item, and where."""
+    """All documents that hold a benchmark item, and where; nulls, short items, ties and empty tables as in hits()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

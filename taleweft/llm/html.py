@@ -344,7 +344,7 @@ def extract(pages: DataFrame, column: str = "html", url: str = "url", out: str =
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page; null sources and addresses, copies and repeated rows as in extract()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = extract(pages)
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

@@ -167,7 +167,7 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", weights: tupl
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes from them."""
+    """All documents with the words that the mix takes from them; nulls, repeated rows and empty tables as in mix()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mix(sized)

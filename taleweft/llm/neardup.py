@@ -364,6 +364,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **p
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every document."""
+    """The near-duplicate class of every document; nulls, copies, repeated ids and empty tables as in classes()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select(F.col("id").alias("doc_id"), "class_id")

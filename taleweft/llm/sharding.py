@@ -151,7 +151,7 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int = 4096, ma
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards under the law ``rows``; a null text counts as empty."""
+    """All documents in 8 shards under the law ``rows``; a null text counts as empty, repeated rows and empty tables as in shard()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -357,6 +357,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document keeps."""
+    """What every document keeps; nulls, short texts and repeated ids as in deduplicate(). Of equal strings the first stays, so there are no ties."""
     done = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -242,8 +242,8 @@ def compare(contexts: list[bytes], docs: np.ndarray, los: np.ndarray, many: np.n
     return spans, [(hashlib.blake2b(strings[i].tobytes(), digest_size=16).digest(), int(doc[i]), int(place[i])) for i in heads.tolist()]
 
 
-def _sorted_out(length: int, budget: int = 1 << 16):
-    """Groups arrive together; several are sorted at once, which none of them notices."""
+def _sorted_out(length: int, budget: int = 1 << 13):
+    """Groups arrive together; several are sorted at once, which none of them notices (few, as a small array stays in the cache)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

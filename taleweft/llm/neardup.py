@@ -37,7 +37,7 @@ from .textkit import grams, mix, words
 
 #: Bytes of text in a chunk (one document at least), and for each bucket of hashes.
 CHUNK = 1 << 21
-BUCKET = 12 << 20
+BUCKET = 6 << 20
 #: Shingles in a block of texts to compare.
 MASS = 1 << 21
 STEP = 0.05

@@ -36,8 +36,10 @@ from .components import components
 from .textkit import grams, mix, words
 
 #: Bytes of text in a chunk (one document at least), and for each bucket of hashes.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BUCKET = 6 << 20
+#: Partitions of buckets at most; beyond, buckets of a partition come one after the other.
+PARTITIONS = 1 << 14
 #: Shingles in a block of texts to compare.
 MASS = 1 << 21
 STEP = 0.05
@@ -131,22 +133,50 @@ def _sums(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarra
     return [len(x) for x in asked], h, at, df.astype(np.int64)
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table) -> pa.RecordBatch:
     sizes, _, at, df = _sums(table)
     found = np.split(df.astype(np.uint32)[at], np.cumsum(sizes)[:-1])
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([_planes(x) for x in found], pa.binary())})
+    return pa.RecordBatch.from_arrays([pa.array(table.column("chunk").to_pylist(), pa.int64()), pa.array(table.column("bucket").to_pylist(), pa.int64()), pa.array([_planes(x) for x in found], pa.binary())], names=["chunk", "bucket", "df"])
 
 
-def _counts(table: pa.Table) -> pa.Table:
+def _counts(table: pa.Table) -> pa.RecordBatch:
     _, h, _, df = _sums(table)
-    return pa.table({"h": h.view(np.int64), "df": df})
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df)], names=["h", "df"])
+
+
+def _each_bucket(of):
+    """Apply ``of`` to each bucket's rows, which arrive together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        open_ = None
+        for batch in batches:
+            names = batch.column("bucket").to_numpy()
+            cut = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if held and names[a] != open_:
+                    yield of(pa.Table.from_batches(held))
+                    held = []
+                open_ = names[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    return run
+
+
+def _by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
+    """What the chunks ask, each bucket in one partition and together there."""
+    asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
+    parts = min(buckets, PARTITIONS)
+    dealt = asked.repartitionById(parts, (F.col("bucket") % parts).cast("int"))
+    return dealt if parts == buckets else dealt.sortWithinPartitions("bucket")
 
 
 def document_frequency(texts: DataFrame) -> DataFrame:
     """(h, df): every distinct shingle's hash and in how many rows of ``texts`` (column __text) it is."""
     chunks, _, buckets = pack(texts)
-    asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
-    return asked.groupBy("bucket").applyInArrow(_counts, "h long, df long")
+    return _by_bucket(chunks, buckets).mapInArrow(_each_bucket(_counts), "h long, df long")
 
 
 def weights(count: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
@@ -307,8 +337,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     base = docs.select(F.col(id_col).cast("long").alias("__id"), body.alias("__text")).filter("__id IS NOT NULL")
     keyed = base.select("__id", F.xxhash64("__text").alias("__h1"), F.xxhash64(F.lit(7), "__text").alias("__h2"), "__text")
     chunks, total, buckets = pack(keyed)
-    asked = chunks.select("chunk", "body").mapInArrow(_asking(buckets), "bucket long, chunk long, h binary, n binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, df binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "df")).alias("answers"))
+    answers = _by_bucket(chunks, buckets).mapInArrow(_each_bucket(_answer), "chunk long, bucket long, df binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "df")).alias("answers"))
     counted = chunks.select("chunk", "body").join(answers, "chunk", "left").select("body", "answers")
     sketched = stored(counted.mapInArrow(_sketch(total, bands, rows), "__id long, __h1 long, __h2 long, bands array<long>, mass long, df binary"))
     reps = stored(sketched.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands"), F.first("mass").alias("mass"), F.first("df").alias("df")))

@@ -129,6 +129,7 @@ def test_every_shingle_is_counted(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(150)]
     monkeypatch.setattr(neardup, "BUCKET", 300)
+    monkeypatch.setattr(neardup, "PARTITIONS", 5)
     counted = neardup.document_frequency(spark.createDataFrame(rows, "i long, __text string").select("__text").repartition(7))
     want = Counter(x for _, t in rows for x in neardup.shingles([t])[0].view("int64").tolist())
     assert {r["h"]: r["df"] for r in counted.collect()} == want

@@ -133,6 +133,7 @@ def levels(chunks: DataFrame, summarise, embed, max_levels: int = 3, **params) -
     from pyspark.sql import functions as F
 
     from ..functions.text import chunk_key
+    from ..sources.workspace import stored
     from .hierarchy import cluster_summaries, edges_from_labels
 
     per = ["series_id", "book_number", "chapter_number"]
@@ -140,11 +141,11 @@ def levels(chunks: DataFrame, summarise, embed, max_levels: int = 3, **params) -
     last = chunks.select(*base)
     everything, edges = last, None
     for level in range(2, max_levels + 1):
-        labels = cluster(last, per, **params).filter("cluster IS NOT NULL").persist()
+        labels = stored(cluster(last, per, **params).filter("cluster IS NOT NULL"))
         grouped = cluster_summaries(labels.join(last.select("chunk_key", "text", "book_position"), "chunk_key"), [*per, "cluster"])
         made = grouped.select(*per, F.lit(level).alias("level"), F.col("cluster").alias("chunk_index"), summarise(F.col("text")).alias("text"), "book_position", "cluster")
         made = made.withColumn("chunk_key", chunk_key(*(F.col(c) for c in (*per, "level", "chunk_index")))).withColumn("embedding", embed(F.col("text")))
-        made = made.persist()
+        made = stored(made)
         found = edges_from_labels(labels, made, [*per, "cluster"])
         edges = found if edges is None else edges.unionByName(found)
         last = made.select(*base)

@@ -38,7 +38,7 @@ def ingest(spark: SparkSession, paths: str | list[str], series_id: int, embed=No
     first = chunk_books(readers.read_books(spark, paths), series_id, size, overlap).withColumn("embedding", embed(F.col("text")))
     everything, edges = cluster.levels(first, summarise, embed, max_levels, **params)
     names = first.select("book_number", "book_filename").distinct()
-    chunks = everything.join(F.broadcast(names), "book_number")
+    chunks = everything.join(names, "book_number")
     return Ingested(hierarchy.with_edges(chunks, edges) if edges is not None else chunks, edges)
 
 

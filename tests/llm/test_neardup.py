@@ -11,6 +11,7 @@ from taleweft.llm.components import components
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(200, i) for i in range(201, 260)]
+    edges += [(2000, i) for i in range(1000, 1400)] + [(3000 + i, 3001 + i) for i in range(20)] + [(3005, 1100), (2000, 2000)]  # a hub of over 256 edges
     parent = {}
 
     def root(x):

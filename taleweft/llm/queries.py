@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, substring, topk
+from . import bpe, chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, substring, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_tool_calls": chat.op10_tool_calls,
+    "op11_bpe": bpe.op11_bpe,
 }
 
 ORACLE_SQL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html, mixing, neardup, quality, secrets, sharding, substring, topk
+from . import bpe, chat, decontaminate, html, mixing, neardup, quality, repair, secrets, sharding, substring, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_tool_calls": chat.op10_tool_calls,
     "op11_bpe": bpe.op11_bpe,
+    "op12_repair": repair.op12_repair,
 }
 
 ORACLE_SQL = {

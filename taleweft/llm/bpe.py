@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A vocabulary goes out with the tasks, so its file may have so many bytes at most.
 MAX_VOCABULARY = 64 << 20
 #: A worker remembers about so many pieces and words of at most so many bytes; such pieces are merged side by side.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 SHORT = 64
 #: Texts are encoded in groups of so many characters, or one by one where longer.
 GROUP = 1 << 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html, mixing, neardup, quality, repair, secrets, sharding, substring, topk
+from . import bpe, chat, decontaminate, html, lexical, mixing, neardup, quality, repair, secrets, sharding, substring, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_tool_calls": chat.op10_tool_calls,
     "op11_bpe": bpe.op11_bpe,
     "op12_repair": repair.op12_repair,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 ORACLE_SQL = {
     "op3_topk": topk.OP3_SQL,
     "op10_tool_calls": chat.OP10_SQL,
+    "op13_lexical": lexical.OP13_SQL,
 }

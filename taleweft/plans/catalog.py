@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key, complete_key, context_block, context_line, tokens
 from ..operators import catalog as books
-from ..operators import chunking, cluster, conversation, hierarchy, relevance, search, vector
+from ..operators import chunking, cluster, conversation, hierarchy, postings, relevance, search, vector
 from ..operators.predicates import ContextFilters, apply_filters
 from ..providers import LocalDecisions, hashed_embedding, keep_text
 from ..sources import readers, writers
@@ -57,13 +57,13 @@ def _top(body: str, kind: str, matched: str, ctes: str = t.CHUNKS, most: int = 2
 
 @query("exact_search", _top(_exact_sql(WORDS), "exact", "array_to_string(hit, ',')"))
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(t.chunks(spark, sf_dir), WORDS))
+    return _shown(postings.search(t.index(spark, sf_dir), WORDS))
 
 
 @query("top_n_chunks", _top(_exact_sql(WORDS), "exact", "array_to_string(hit, ',')", most=5))
 def top_n_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword results cut to the configured count."""
-    return _shown(search.search(t.chunks(spark, sf_dir), WORDS, max_results=N_CHUNKS))
+    return _shown(postings.search(t.index(spark, sf_dir), WORDS, max_results=N_CHUNKS))
 
 
 def _phrase_sql(text: str, strict: bool = False) -> str:
@@ -99,25 +99,22 @@ def phrase_search_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k.chunk_key, book_number, chapter_number, round(score, 6) AS score, 'proximity' AS match_type, '' AS matched FROM best JOIN keyed k USING (chunk_key) WHERE score > 0.25 ORDER BY score DESC, k.chunk_key LIMIT 20""",
 )
 def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.best_first(search.proximity(t.chunks(spark, sf_dir), NEAR)))
+    return _shown(search.best_first(postings.proximity(t.index(spark, sf_dir), NEAR)))
 
 
-ENGLISH = t.CHUNKS + ", english AS (SELECT * FROM keyed WHERE lang = 'en')"
-
-
-@query("fuzzy_search", _top(_fuzzy_sql(TYPOS, "english"), "fuzzy", "matched", ENGLISH))
+@query("fuzzy_search", _top(_fuzzy_sql(TYPOS, "keyed"), "fuzzy", "matched"))
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(t.chunks(spark, sf_dir).filter("lang = 'en'"), TYPOS, "fuzzy"))
+    return _shown(postings.search(t.index(spark, sf_dir), TYPOS, "fuzzy"))
 
 
 @query(
     "search_fallback",
-    f"""WITH {ENGLISH}, prim AS ({_exact_sql(EMPTY, "english")}), first AS (SELECT chunk_key, book_number, chapter_number, score, 'exact' AS match_type, array_to_string(hit, ',') AS matched FROM prim WHERE score > 0.25),
-    spare AS (SELECT chunk_key, book_number, chapter_number, score, 'fuzzy' AS match_type, matched FROM ({_fuzzy_sql(EMPTY, "english")}) WHERE score > 0.25 AND NOT EXISTS (SELECT 1 FROM first))
+    f"""WITH {t.CHUNKS}, prim AS ({_exact_sql(EMPTY)}), first AS (SELECT chunk_key, book_number, chapter_number, score, 'exact' AS match_type, array_to_string(hit, ',') AS matched FROM prim WHERE score > 0.25),
+    spare AS (SELECT chunk_key, book_number, chapter_number, score, 'fuzzy' AS match_type, matched FROM ({_fuzzy_sql(EMPTY, "keyed")}) WHERE score > 0.25 AND NOT EXISTS (SELECT 1 FROM first))
     SELECT chunk_key, book_number, chapter_number, round(score, 6) AS score, match_type, matched FROM (SELECT * FROM first UNION ALL SELECT * FROM spare) ORDER BY score DESC, chunk_key LIMIT 20""",
 )
 def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(t.chunks(spark, sf_dir).filter("lang = 'en'"), EMPTY))
+    return _shown(postings.search(t.index(spark, sf_dir), EMPTY))
 
 
 def _guarded(spark: SparkSession, sf_dir: str, f: ContextFilters) -> DataFrame:
@@ -379,7 +376,7 @@ def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("keyword_retrieval", f"WITH {t.CHUNKS} SELECT chunk_key FROM keyed WHERE len(list_intersect(['the', 'with', 'from'], list_distinct({_tokens()}))) = 3")
 def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.all_keywords(t.chunks(spark, sf_dir), ["the", "with", "from"]).select("chunk_key")
+    return postings.all_keywords(t.index(spark, sf_dir), ["the", "with", "from"]).select("chunk_key")
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_key, tokens
-from ..operators.running import running
-from ..sources.workspace import work_dir
+from ..functions.text import chunk_key
+from ..operators.postings import Index
+from .shelf import shelf
 
 SERIES_ROWS = [
     {
@@ -42,37 +42,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-CHUNKS_SCHEMA = "doc_id long, series_id int, chapter_number int, level int, chunk_index int, text string, lang string, is_summary boolean, chunk_key string, book_position double, tokens array<string>, book_number int"
-_stores: dict[tuple[str, str], str] = {}
-
-
-def chunk_store(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the chunk table of ``documents``, which is written once per application.
-
-    A source is a book, a document is a chapter of one chunk. Numbers and positions come from
-    narrow rows, in ranges; texts are moved once. The table is partitioned by book and sorted
-    by chapter, so that guards prune folders and row groups, and holds the tokens that search
-    would else make again for each question.
-    """
-    known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _stores:
-        docs = documents(spark, sf_dir)
-        narrow = docs.select("doc_id", "source", F.lit(1).alias("__one"), F.length("text").cast("long").alias("__chars"))
-        placed = running(narrow, ["source"], ["doc_id"], {"__n": "__one", "__to": "__chars"})
-        base = docs.join(placed.select(F.col("doc_id").alias("__id"), "__n", "__to", "__to_total"), F.col("doc_id") == F.col("__id")).select(
-            "doc_id", F.lit(1).alias("series_id"), (F.expr("substr(source, 4)").cast("int") + 1).alias("book_number"), (F.col("__n") - 1).cast("int").alias("chapter_number"),
-            F.lit(1).alias("level"), F.lit(0).alias("chunk_index"), "text", "lang", F.lit(False).alias("is_summary"), F.round(F.col("__to") / F.col("__to_total"), 4).alias("book_position"),
-        )
-        rows = base.withColumns({"chunk_key": chunk_key(*(F.col(c) for c in ("series_id", "book_number", "chapter_number", "level", "chunk_index"))), "tokens": tokens(F.col("text"))})
-        path = f"{work_dir(spark)}/chunks"
-        rows.repartitionByRange("book_number", "chapter_number").sortWithinPartitions("book_number", "chapter_number").write.partitionBy("book_number").parquet(path)
-        _stores[known] = path
-    return _stores[known]
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level-1 chunks with their positions and tokens, as stored, of all that ``documents`` holds now."""
+    return shelf(spark, sf_dir).chunks()
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level-1 chunks with their positions and tokens, as stored."""
-    return spark.read.schema(CHUNKS_SCHEMA).parquet(chunk_store(spark, sf_dir))
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The inverted index of the chunk table."""
+    return shelf(spark, sf_dir).index()
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +79,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS = """chunks AS (
-  SELECT doc_id, 1 AS series_id, CAST(substr(source, 4) AS INTEGER) + 1 AS book_number,
+  SELECT doc_id, 1 AS series_id, CAST(dense_rank() OVER (ORDER BY source IS NULL, length(source), source) AS INTEGER) AS book_number,
          CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chapter_number, 1 AS level, 0 AS chunk_index, text, lang
   FROM documents
 ), keyed AS (

@@ -1,0 +1,133 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from taleweft.operators import postings, search
+from taleweft.operators.predicates import ContextFilters, apply_filters
+from taleweft.plans import catalog, shelf, tables
+
+from .test_search import distance
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def folder(spark, path, rows, mode="append"):
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.mode(mode).parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def found(df):
+    return sorted((r["chunk_key"], round(r["score"], 6), tuple(r["matched"])) for r in df.select("chunk_key", "score", "matched").collect())
+
+
+@pytest.fixture(scope="module")
+def noisy(spark, tmp_path_factory):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 10, 12, 13, 15, 70])))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 90))), rng.choice(["en", "de", None]), f"src{i % 3}", 1) for i in range(90)]
+    rows += [(200, None, "en", "src0", 0), (201, "", "en", None, 0), (None, "ab ab ba", "en", None, 0), (7, rows[7][1], rows[7][2], rows[7][3], 1), (202, "ab " * 30_000, "en", "blog", 5)]
+    return folder(spark, tmp_path_factory.mktemp("noisy"), rows)
+
+
+def test_postings_hold_every_place_of_every_token(spark):
+    rows = [("x", "b a b c b"), ("y", ""), ("z", "one")]
+    df = spark.createDataFrame(rows, "k string, text string").select("k", F.explode(postings.grouped(postings.F.filter(F.split("text", " "), lambda t: t != ""))).alias("p"))
+    got = {(r["k"], r["p"]["token"]): r["p"]["positions"] for r in df.collect()}
+    assert got == {("x", "a"): [1], ("x", "b"): [0, 2, 4], ("x", "c"): [3], ("z", "one"): [0]}
+
+
+@pytest.mark.parametrize("query", ["ab ba a é", "ab ab b", "aaaaa", "bab " * 3 + "zz"])
+def test_searches_of_the_index_equal_scans(spark, noisy, query):
+    chunks, index = tables.chunks(spark, noisy).dropDuplicates(["chunk_key"]), tables.index(spark, noisy)
+    assert found(postings.exact(index, query)) == found(search.exact(chunks, query))
+    assert found(postings.proximity(index, query, 0.25, 5)) == found(search.proximity(chunks, query, 0.25, 5))
+    assert found(postings.all_keywords(index, ["AB", "ba"])) == sorted((r["chunk_key"], 1.0, ("ab", "ba")) for r in search.all_keywords(chunks, ["AB", "ba"]).collect())
+    guard = ContextFilters(series_id=1, book_number=2, chapter_number=9)
+    assert found(postings.exact(index, query, guard=lambda rows: apply_filters(rows, guard))) == found(search.exact(apply_filters(chunks, guard), query))
+
+
+def test_fuzzy_by_neighbours_equals_brute_force(spark, noisy):
+    """Words of all lengths: by the neighbour table up to eleven characters, by the vocabulary's folders beyond."""
+    index = tables.index(spark, noisy)
+    vocabulary = [r["token"] for r in index.vocabulary.collect()]
+    rng = random.Random(8)
+    words = ["ab", "abab", "abéab", "ababaaab", "abbaéabab", "abababababa"]
+    for n in (9, 10, 11, 12, 14, 68):
+        at = [t for t in vocabulary if abs(len(t) - n) < 3]
+        words += ["".join(c if rng.random() > 0.1 else "b" for c in rng.choice(at)) for _ in range(2)] if at else []
+    for w in set(words):
+        want = {t for t in vocabulary if 5 * distance(t, w) <= max(len(t), len(w))}
+        assert {r["token"] for r in index.alike(w).collect()} == want, w
+    query = " ".join(words[:5])
+    assert found(postings.fuzzy(index, query)) == found(search.fuzzy(tables.chunks(spark, noisy).dropDuplicates(["chunk_key"]), query))
+
+
+def test_edits_cover_all_pairs_of_lengths():
+    for a in range(1, 40):
+        for b in range(a, 60):
+            k = max(a, b) // 5
+            if b - a <= k:
+                assert k <= postings.edits(a) and k <= postings.edits(b)
+                if a <= postings.WORD_LENGTH:
+                    assert b <= postings.NEAR_LENGTH and k <= 2
+
+
+def test_blank_queries_find_nothing(spark, noisy):
+    index = tables.index(spark, noisy)
+    for strategy in postings.STRATEGIES:
+        assert postings.search(index, "  ", strategy).count() == 0
+
+
+def test_a_search_reads_only_the_folders_of_its_words(spark, data):
+    plan = plan_of(postings.exact(tables.index(spark, data), "that the"))
+    folders = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in folders and "In(token" in plan and "text" not in plan
+    fuzzy = plan_of(postings.fuzzy(tables.index(spark, data), "tthat"))
+    assert "In(variant" in fuzzy and "text" not in fuzzy  # distances are taken of neighbours, not of texts
+    with_texts = postings.texts(postings.search(tables.index(spark, data), "that the"), tables.chunks(spark, data))
+    assert with_texts.count() == 20
+    scan = plan_of(with_texts).split("PartitionFilters: [")[1].split("PushedFilters: [")
+    assert "book_number" in scan[0] and "In(chapter_number" in scan[1]
+
+
+def test_new_files_are_seen_and_only_their_books_written(spark, tmp_path):
+    """Appends reach every query; the books that they don't touch stay as they were."""
+    first = [(i, f"alpha word{i} beta", "en", f"src{i % 4}", 1) for i in range(20)]
+    path = folder(spark, tmp_path, first)
+    index = tables.index(spark, path)
+    assert postings.exact(index, "alpha").count() == 20
+    before = tables.chunks(spark, path)
+    folder(spark, tmp_path, [(i, f"gamma alpha word{i}", "en", "src1", 1) for i in range(100, 130)])
+    assert tables.chunks(spark, path).count() == 50
+    kept = shelf.shelf(spark, path)
+    assert kept.generations == [[1, 2, 3, 4], [2]]
+    assert postings.exact(tables.index(spark, path), "alpha").count() == 50
+    assert postings.exact(tables.index(spark, path), "gamma").count() == 30
+    assert postings.search(tables.index(spark, path), "gamna", "fuzzy").count() == 20
+    assert before.count() == 20  # planned before, and still whole
+    ends = tables.chunks(spark, path).groupBy("book_number").agg(F.max("book_position").alias("end"), F.max("chapter_number").alias("n")).collect()
+    assert {r["book_number"]: (r["end"], r["n"]) for r in ends} == {1: (1.0, 4), 2: (1.0, 34), 3: (1.0, 4), 4: (1.0, 4)}
+    folder(spark, tmp_path, [(500, "delta", "en", None, 1), (501, "delta", "en", "essay", 1)])
+    assert sorted(tables.chunks(spark, path).filter("text = 'delta'").select("book_number").toPandas()["book_number"]) == [5, 6]
+    assert catalog.QUERIES["chunk_keys"](spark, path).count() == 52
+
+
+def test_changed_files_make_all_anew(spark, tmp_path):
+    path = folder(spark, tmp_path, [(1, "one two", "en", "src0", 1)])
+    assert postings.exact(tables.index(spark, path), "one").count() == 1
+    folder(spark, tmp_path, [(1, "three", "en", "src0", 1)], "overwrite")
+    assert postings.exact(tables.index(spark, path), "one").count() == 0
+    assert postings.exact(tables.index(spark, path), "three").count() == 1
+
+
+def test_many_appends_are_folded(spark, tmp_path):
+    path = folder(spark, tmp_path, [(i, "word", "en", f"src{i}", 1) for i in range(8)])
+    for i in range(shelf.GENERATIONS + 1):
+        folder(spark, tmp_path, [(100 + i, "word", "en", "src1", 1)])
+        assert tables.chunks(spark, path).count() == 9 + i
+    assert len(shelf.shelf(spark, path).generations) <= shelf.GENERATIONS

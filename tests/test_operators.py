@@ -496,27 +496,6 @@ def test_local_decisions():
     assert d.answer("q", ["a", "b", "c", "d"]) == "a\nb\nc" and d.clarify("q") == ""
 
 
-def test_information_criterion_and_inertia():
-    import numpy as np
-
-    from taleweft.operators import cluster
-
-    rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(60, 3)) + 8])
-    centres, inertia = cluster.k_means(x, 2, np.random.default_rng(0))
-    assert inertia == pytest.approx(sum(min(((p - c) ** 2).sum() for c in centres) for p in x))
-    r, likelihood = cluster.mixture(x, centres)
-    assert r.sum(1) == pytest.approx(np.ones(120))
-    density = lambda p: sum(w * np.exp(-0.5 * (p - m) @ np.linalg.inv(c) @ (p - m)) / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(c)) for w, m, c in parts)
-    weight = r.sum(0)
-    means = [(r[:, j, None] * x).sum(0) / weight[j] for j in range(2)]
-    parts = [(weight[j] / 120, means[j], (r[:, j, None] * (x - means[j])).T @ (x - means[j]) / weight[j]) for j in range(2)]
-    assert likelihood == pytest.approx(sum(np.log(density(p)) for p in x), rel=1e-3)
-    assert cluster.bic(likelihood, 2, 120, 3) == pytest.approx(-2 * likelihood + (1 + 2 * 3 + 2 * 6) * np.log(120))
-    labels = cluster.two_phase(x, dim=2, most=4)
-    assert not set(labels[:60]) & set(labels[60:]) - {-1}  # local clusters lie inside global ones
-
-
 def test_ingest_command(spark, tmp_path):
     from taleweft.__main__ import main
 

@@ -12,7 +12,7 @@ from ..operators.predicates import ContextFilters, apply_filters
 from ..providers import LocalDecisions, hashed_embedding, keep_text
 from ..sources import readers, writers
 from ..sources.workspace import stored
-from . import book_queries, store_queries  # noqa: F401  they register theirs
+from . import book_queries, many, store_queries  # noqa: F401  some register theirs
 from . import tables as t
 from .ask import N_CHUNKS, Library, retrieve
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -421,3 +421,42 @@ shown AS (SELECT * FROM shelf WHERE book_number < 6 OR (book_number = 6 AND chap
 def ask_by_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contexts of a question by the default decisions without similarity: guard, search, choice, descent."""
     return retrieve(library(spark, sf_dir), "the with from and of", ContextFilters(series_id=1, book_number=6, chapter_number=4), ByWords())
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question of a reader who is in the sixth chapter of a book."""
+    rows = t.messages(spark, sf_dir).filter("role = 'user'")
+    return rows.select("conv_id", "turn", F.col("text").alias("question"), (F.col("conv_id") % 20 + 1).cast("int").alias("book_number"), F.lit(5).alias("chapter_number"))
+
+
+_SAID = f"list_filter(regexp_extract_all(lower(text), '{many.WORD}'), lambda x: NOT list_contains({_sql_list(sorted(many.STOPWORDS))}, x))"
+MANY = f"""{t.CHUNKS}, asked AS (SELECT conv_id, turn, conv_id % 20 + 1 AS at_book, {_SAID} AS said FROM conversations WHERE role = 'user'),
+named AS (SELECT * REPLACE (list_filter(said, lambda x, i: list_position(said, x) = i)[1:3] AS said) FROM asked),
+word AS (SELECT conv_id, turn, at_book, len(said) AS n_words, unnest(said) AS token FROM named),
+held AS (SELECT chunk_key, book_number, chapter_number, unnest(list_distinct({_tokens()})) AS token FROM keyed),
+scored AS (SELECT conv_id, turn, chunk_key, book_number, chapter_number, count(*) / any_value(n_words)::DOUBLE AS score FROM word JOIN held USING (token)
+  WHERE book_number < at_book OR (book_number = at_book AND chapter_number < 5) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_key)::INTEGER AS rank FROM scored WHERE score > 0.25),
+found AS (SELECT b.*, format('Book {{}}, Chapter {{}}: {{}}', k.book_number, k.chapter_number, text) AS line FROM best b JOIN keyed k USING (chunk_key) WHERE rank <= 5)"""
+
+
+@query("many_contexts", f"WITH {MANY} SELECT conv_id, turn, rank, chunk_key, round(score, 6) AS score, line FROM found")
+def many_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks that its reader may see for every question of the conversations, in one plan."""
+    found = many.contexts(t.index(spark, sf_dir), _questions(spark, sf_dir), ["conv_id", "turn"])
+    return many.lines(found, t.chunks(spark, sf_dir)).select("conv_id", "turn", "rank", "chunk_key", F.round("score", 6).alias("score"), "line")
+
+
+_ORDER = "CASE WHEN first THEN book_number WHEN late THEN -book_number END NULLS FIRST, CASE WHEN first THEN chapter_number WHEN late THEN -chapter_number END NULLS FIRST, chunk_key"
+_HAS = lambda *words: " OR ".join(f"list_contains(string_split_regex(lower(text), '\\s+'), '{w}')" for w in words)
+ANSWERS = f"""{MANY}, kind AS (SELECT conv_id, turn, coalesce({_HAS('first', 'begin')}, false) AS first, coalesce({_HAS('latest', 'current', 'now')}, false) AS late FROM conversations WHERE role = 'user'),
+told AS (SELECT f.*, row_number() OVER (PARTITION BY conv_id, turn ORDER BY {_ORDER}) AS n FROM found f JOIN kind USING (conv_id, turn)),
+made AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY n) FILTER (n <= 3) AS answer, count(*) AS n_contexts FROM told GROUP BY ALL)"""
+
+
+@query("many_answers", f"WITH {ANSWERS} SELECT conv_id, turn, coalesce(answer, '{many.NO_ANSWER.replace(chr(39), chr(39) * 2)}') AS answer, coalesce(n_contexts, 0)::BIGINT AS n_contexts FROM kind LEFT JOIN made USING (conv_id, turn)")
+def many_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default answer to every question of the conversations."""
+    questions = _questions(spark, sf_dir)
+    found = many.lines(many.contexts(t.index(spark, sf_dir), questions, ["conv_id", "turn"]), t.chunks(spark, sf_dir))
+    return many.answers(questions, found, ["conv_id", "turn"])

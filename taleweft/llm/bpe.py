@@ -25,6 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A vocabulary goes out with the tasks, so its file may have so many bytes at most.
@@ -277,7 +280,7 @@ class Tokenizer:
     def __init__(self, ranks: bytes, pattern: str = public_tokenizers.PATTERN):
         if len(ranks) > MAX_VOCABULARY:
             raise ValueError(f"a vocabulary of {len(ranks)} bytes is too large to go out with the tasks")
-        self.file, self.pattern, self._ready = ranks, pattern, None
+        self.file, self.pattern, self._known, self._tokens = ranks, pattern, None, None
 
     @classmethod
     def load(cls, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
@@ -288,20 +291,24 @@ class Tokenizer:
         return self.file, self.pattern
 
     def __setstate__(self, state):
-        (self.file, self.pattern), self._ready = state, None
+        (self.file, self.pattern), self._known, self._tokens = state, None, None
+
+    def _encoder(self) -> _Known:
+        if self._known is None:
+            self._known = _Known(parse(self.file), splitter(self.pattern))
+        return self._known
 
-    def _open(self):
-        if self._ready is None:
+    def _decoder(self) -> list[bytes]:
+        if self._tokens is None:
             ranks = parse(self.file)
-            tokens = [b""] * (max(ranks.values()) + 1)
+            self._tokens = [b""] * (max(ranks.values()) + 1)
             for token, rank in ranks.items():
-                tokens[rank] = token
-            self._ready = _Known(ranks, splitter(self.pattern)), tokens
-        return self._ready
+                self._tokens[rank] = token
+        return self._tokens
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self._open()[0]
+        known = self._encoder()
         if self.pattern != public_tokenizers.PATTERN:
             for text in texts:
                 yield known.by_pieces(text)
@@ -320,7 +327,7 @@ class Tokenizer:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; a negative id or one that the vocabulary lacks is an error."""
-        tokens = self._open()[1]
+        tokens = self._decoder()
         if len(ids) and int(ids.min()) < 0:
             raise ValueError("a token id is negative")
         return b"".join(map(tokens.__getitem__, ids.tolist()))
@@ -385,12 +392,29 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", tokenizer: To
     return df.withColumn(into, decoded(df.sparkSession, F.col(ids), tokenizer).cast("string"))
 
 
+def round_trip(df: DataFrame, text: str = "text", into: str = "ids", back: str = "decoded", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """All rows of ``df`` without the text, with its packed ids and the bytes that they decode to, by one worker a task.
+
+    Rows pass in slices of bounded size. Nulls and repeated rows as in encode(); columns of the result's names are replaced.
+    """
+    shared = _shared(df.sparkSession, tokenizer)
+    given = df.drop(*({into, back} - {text}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            ids = list(shared.value.encode(texts_of(part, text)))
+            whole = [shared.value.decode(np.frombuffer(x, "<u4")) for x in ids]
+            kept = {name: part.column(name) for name in part.schema.names if name != text}
+            yield pa.RecordBatch.from_pydict({**kept, into: pa.array(ids, pa.binary()), back: pa.array(whole, pa.binary())})
+
+    schema = T.StructType([*(f for f in given.schema.fields if f.name != text), T.StructField(into, T.BinaryType()), T.StructField(back, T.BinaryType())])
+    return given.mapInArrow(run, schema)
+
+
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents encoded and decoded again; a null text counts as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokenizer = Tokenizer.load()
-    coded = docs.select("doc_id", encoded(spark, F.col("text"), tokenizer, packed=True).alias("ids"))
-    both = coded.withColumn("decoded", decoded(spark, F.col("ids"), tokenizer, packed=True))
+    both = round_trip(docs.select("doc_id", "text"))
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -77,6 +77,8 @@ def test_odd_rows_round_trip(spark, odd_docs, no_docs):
     rows = bpe.decode(coded, into="back").collect()
     assert len(rows) == 8 and all(r["back"] == (r["text"] or "") for r in rows)
     assert bpe.encode(no_docs).count() == 0
+    both = bpe.round_trip(odd_docs.withColumnRenamed("score", "ids"), "text").collect()
+    assert len(both) == 8 and "text" not in both[0].asDict() and sorted(bytes(r["decoded"]).decode() for r in both) == sorted(r["text"] or "" for r in rows)
 
 
 def test_memory_of_pieces_is_bounded(tokenizer, library, monkeypatch):
@@ -85,5 +87,5 @@ def test_memory_of_pieces_is_bounded(tokenizer, library, monkeypatch):
     fresh = bpe.Tokenizer(tokenizer.file)
     texts = [f"word{i} other{i * 7} {'y' * 80}{i} end." for i in range(100)]
     assert list(fresh.encode(texts)) == [packed(library.encode_ordinary(t)) for t in texts]
-    known = fresh._open()[0]
+    known = fresh._encoder()
     assert len(known.pieces) < 400 and len(known.words) < 400 and not any(len(w) > 64 for w in known.words)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def books(series: DataFrame) -> DataFrame:
@@ -16,6 +15,12 @@ def find_series(series: DataFrame, name: str) -> DataFrame:
     return series.filter((F.col("series_name") == name) | (F.col("series_metadata_name") == name)).orderBy("series_id").limit(1)
 
 
+def find_all_series(series: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, series_id) for each distinct ``name``: the first series by id of that name or metadata name; none for others."""
+    known = series.select("series_id", F.explode(F.array_distinct(F.array("series_name", "series_metadata_name"))).alias("asked"))
+    return names.select(F.col("name").alias("asked")).distinct().join(known, "asked").groupBy("asked").agg(F.min("series_id").alias("series_id"))
+
+
 def series_json(series: DataFrame) -> DataFrame:
     """(series_id, json) without the entity settings."""
     return series.select("series_id", F.to_json(F.struct("series_id", "series_name", "series_metadata_name", "books"), {"ignoreNullFields": "false"}).alias("json"))
@@ -34,9 +39,9 @@ def add_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("character_id", "book", "chapter").agg(F.transform(ordered, lambda x: x["summary"]).alias("summaries"))
 
 
-def find_characters(characters: DataFrame, names: DataFrame) -> DataFrame:
-    """For each ``name`` asked: the first character in order of id that has it as name or alias, in any case."""
-    known = characters.select("character_id", F.col("name").alias("found"), F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda a: F.lower(a)))).alias("__a"))
-    hits = names.select(F.col("name").alias("asked")).distinct().join(known, F.lower("asked") == F.col("__a"))
-    first = Window.partitionBy("asked").orderBy("character_id")
-    return hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select("asked", "character_id", "found")
+def find_characters(characters: DataFrame, names: DataFrame, order: str = "character_id") -> DataFrame:
+    """For each ``name`` asked: the first character, by a column that tells the order of insertion, that has it as name or alias, in any case."""
+    every = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: F.lower(a)))
+    known = characters.select("character_id", F.col("name").alias("found"), F.col(order).alias("__o"), F.explode(every).alias("__a"))
+    first = known.groupBy("__a").agg(F.min_by(F.struct("character_id", "found"), F.struct("__o", "character_id")).alias("c"))  # before the join, so a common alias is one row
+    return names.select(F.col("name").alias("asked")).distinct().join(first, F.lower("asked") == F.col("__a")).select("asked", "c.character_id", "c.found")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key, complete_key, context_block, context_line, tokens
-from ..operators import catalog as books
 from ..operators import chunking, cluster, conversation, hierarchy, postings, relevance, search, vector
 from ..operators.predicates import ContextFilters, apply_filters
 from ..providers import LocalDecisions, hashed_embedding, keep_text
-from ..sources import readers, writers
+from ..sources import writers
 from ..sources.workspace import stored
 from . import book_queries, many, store_queries  # noqa: F401  some register theirs
 from . import tables as t
@@ -330,21 +329,6 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("dollars", F.round(conversation.cost(F.col("completion_tokens"), F.col("prompt_tokens")), 8))
 
 
-SERIES_VALUES = ", ".join(f"({s['series_id']}, '{s['series_name']}', '{s['series_metadata_name']}', {b['number_in_series']}, '{b['title']}', {b['number_of_chapters']})" for s in t.SERIES_ROWS for b in s["books"])
-
-
-@query("series_catalog", f"SELECT * FROM (VALUES {SERIES_VALUES}) v(series_id, series_name, series_metadata_name, number_in_series, title, number_of_chapters)")
-def series_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books.books(readers.read_series(spark, t.SERIES_ROWS)).select("series_id", "series_name", "series_metadata_name", "number_in_series", "title", "number_of_chapters")
-
-
-@query("character_lookup", "SELECT * FROM (VALUES ('THE PILOT', 'c1', 'Ilse Marrow'), ('tob', 'c2', 'Tobin'), ('Dame Orrel', 'c3', 'Dame Orrel')) v(asked, character_id, found)")
-def character_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(t.CHARACTER_ROWS, "character_id string, name string, aliases array<string>")
-    names = spark.createDataFrame([("THE PILOT",), ("tob",), ("Dame Orrel",), ("nobody",)], "name string")
-    return books.find_characters(known, names)
-
-
 @query("upsert_new_only", f"WITH {t.CHUNKS} SELECT chunk_key, lower(text) AS document, text AS full_chunk FROM keyed WHERE doc_id % 2 = 1")
 def upsert_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk is offered where those of even ids are there already."""

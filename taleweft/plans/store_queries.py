@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,26 +183,54 @@ def cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("conversation_id", conversation.cost_text(conversation.cost(F.col("c"), F.col("p"))).alias("cost"))
 
 
-def _series_json(s: dict) -> str:
-    books = [{k: b.get(k) for k in ("number_in_series", "title", "book_metadata_name", "number_of_chapters", "cover_image")} for b in s["books"]]
-    return json.dumps({"series_id": s["series_id"], "series_name": s["series_name"], "series_metadata_name": s["series_metadata_name"], "books": books}, separators=(",", ":"))
+PART_SERIES = """book AS (SELECT substr(p_brand, 7)::INTEGER AS series_id, p_brand AS series_name, lower(replace(p_brand, '#', '_')) AS series_metadata_name,
+row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS number_in_series, p_name AS title, concat('book_', p_partkey) AS book_metadata_name, p_size AS number_of_chapters FROM part)"""
 
 
-SERIES_JSON = ", ".join(f"({s['series_id']}, '{_series_json(s)}')" for s in t.SERIES_ROWS)
+@query(
+    "series_json",
+    f"""WITH {PART_SERIES} SELECT series_id, to_json({{series_id: series_id, series_name: series_name, series_metadata_name: series_metadata_name,
+    books: list({{number_in_series: number_in_series, title: title, book_metadata_name: book_metadata_name, number_of_chapters: number_of_chapters, cover_image: NULL::VARCHAR}} ORDER BY number_in_series)}})::VARCHAR AS json
+    FROM book GROUP BY series_id, series_name, series_metadata_name""",
+)
+def series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's public part, a series a line."""
+    return shelf.series_json(t.series(spark, sf_dir))
 
 
-@query("series_json", f"SELECT * FROM (VALUES {SERIES_JSON}) v(series_id, json)")
-def series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog's public part; its rows are the configuration's."""
-    return shelf.series_json(readers.read_series(spark, t.SERIES_ROWS))
+@query("series_catalog", f"WITH {PART_SERIES} SELECT series_id, series_name, series_metadata_name, number_in_series, title, number_of_chapters FROM book")
+def series_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series written as JSON lines and read back, a row a book."""
+    path = f"{work_dir(spark)}/series"
+    shelf.series_json(t.series(spark, sf_dir)).select(F.col("json").alias("value")).write.text(path)
+    return shelf.books(readers.series_of(spark.read.text(path))).select("series_id", "series_name", "series_metadata_name", "number_in_series", "title", "number_of_chapters")
 
 
-@query("series_by_name", "SELECT * FROM (VALUES ('The Salt Roads', 1), ('hollow_crown', 2)) v(asked, series_id)")
+@query(
+    "series_by_name",
+    f"""WITH {PART_SERIES}, asked AS (SELECT p_brand AS asked FROM part WHERE p_size > 25 UNION SELECT lower(replace(p_brand, '#', '_')) FROM part UNION SELECT n_name FROM nation)
+    SELECT asked, min(series_id) AS series_id FROM asked JOIN book ON asked = series_name OR asked = series_metadata_name GROUP BY asked""",
+)
 def series_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series by name or metadata name; a name that none has gives no row."""
-    series = readers.read_series(spark, t.SERIES_ROWS)
-    found = [shelf.find_series(series, name).select(F.lit(name).alias("asked"), "series_id") for name in ("The Salt Roads", "hollow_crown", "nothing")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    """Series by name or metadata name; a name that none has, such as a nation's, gives no row."""
+    part = _table(spark, sf_dir, "part")
+    asked = part.filter("p_size > 25").select(F.col("p_brand").alias("name")).union(part.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))))).union(_table(spark, sf_dir, "nation").select("n_name"))
+    return shelf.find_all_series(t.series(spark, sf_dir), asked)
+
+
+@query(
+    "character_lookup",
+    """WITH known AS (SELECT p_partkey AS o, 'p' || p_partkey AS character_id, p_name AS found, unnest([lower(p_name), lower(p_brand), 'part ' || p_partkey]) AS a FROM part),
+    asked AS (SELECT upper(p_name) AS asked FROM part UNION SELECT p_brand FROM part UNION SELECT 'PART ' || o_custkey FROM orders UNION SELECT n_name FROM nation),
+    ranked AS (SELECT asked, character_id, found, row_number() OVER (PARTITION BY asked ORDER BY o) AS n FROM asked JOIN known ON lower(asked) = a)
+    SELECT asked, character_id, found FROM ranked WHERE n = 1""",
+)
+def character_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as characters in order of their keys, with their brands and numbers as aliases; names of customers' numbers and nations are asked too."""
+    part = _table(spark, sf_dir, "part")
+    known = part.select(F.concat(F.lit("p"), "p_partkey").alias("character_id"), F.col("p_name").alias("name"), F.array(F.col("p_brand"), F.concat(F.lit("Part "), "p_partkey")).alias("aliases"), "p_partkey")
+    names = part.select(F.upper("p_name").alias("name")).union(part.select("p_brand")).union(_table(spark, sf_dir, "orders").select(F.concat(F.lit("PART "), "o_custkey"))).union(_table(spark, sf_dir, "nation").select("n_name"))
+    return shelf.find_characters(known, names, order="p_partkey")
 
 
 @query("character_aliases", "SELECT 'r' || r_regionkey AS character_id, r_name AS name, array_to_string(list_concat([r_name, lower(r_name)], list(n_name ORDER BY n_name)), ',') AS aliases FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")

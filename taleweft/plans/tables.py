@@ -4,26 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import chunk_key
 from ..operators.postings import Index
 from .shelf import shelf
 
-SERIES_ROWS = [
-    {
-        "series_id": 1, "series_name": "The Salt Roads", "series_metadata_name": "salt_roads", "base_characters": [],
-        "entity_settings": {"names_to_skip": ["Mother"], "person_titles": ["Captain", "Dame"]},
-        "books": [
-            {"number_in_series": 1, "title": "A Lantern at Low Tide", "book_metadata_name": "01_lantern", "number_of_chapters": 12},
-            {"number_in_series": 2, "title": "The Glass Harbour", "book_metadata_name": "02_harbour", "number_of_chapters": 15, "cover_image": "harbour.png"},
-        ],
-    },
-    {
-        "series_id": 2, "series_name": "Hollow Crown Street", "series_metadata_name": "hollow_crown",
-        "books": [{"number_in_series": 1, "title": "Number Nine", "book_metadata_name": "01_nine", "number_of_chapters": 7}],
-    },
-]
-CHARACTER_ROWS = [("c1", "Ilse Marrow", ["Ilse", "The Pilot"]), ("c2", "Tobin", ["the pilot", "Tob"]), ("c3", "Dame Orrel", ["Orrel"])]
 BOOK = """A word before.
 
 CHAPTER
@@ -74,6 +60,22 @@ def label_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes.withColumn("series_id", F.lit(1)), edges
 
 
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of ``part`` as series, their parts as books; a series is a row, as its file has it."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    number = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    book = F.struct(
+        number.alias("number_in_series"), F.col("p_name").alias("title"), F.concat(F.lit("book_"), "p_partkey").alias("book_metadata_name"),
+        F.col("p_size").alias("number_of_chapters"), F.lit(None).cast("string").alias("cover_image"),
+    )
+    none = F.array().cast("array<string>")
+    made = part.select("p_brand", book.alias("b")).groupBy("p_brand").agg(F.array_sort(F.collect_list("b")).alias("books"))
+    return made.select(
+        F.substring("p_brand", 7, 9).cast("int").alias("series_id"), F.col("p_brand").alias("series_name"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("series_metadata_name"),
+        F.struct(none.alias("names_to_skip"), none.alias("person_titles")).alias("entity_settings"), "books",
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 

@@ -183,8 +183,24 @@ def test_feedback_file(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "f")).first()["value"] == "r1|good|up"
 
 
+SERIES_ROWS = [
+    {
+        "series_id": 1, "series_name": "The Salt Roads", "series_metadata_name": "salt_roads", "base_characters": [],
+        "entity_settings": {"names_to_skip": ["Mother"], "person_titles": ["Captain", "Dame"]},
+        "books": [
+            {"number_in_series": 1, "title": "A Lantern at Low Tide", "book_metadata_name": "01_lantern", "number_of_chapters": 12},
+            {"number_in_series": 2, "title": "The Glass Harbour", "book_metadata_name": "02_harbour", "number_of_chapters": 15, "cover_image": "harbour.png"},
+        ],
+    },
+    {
+        "series_id": 2, "series_name": "Hollow Crown Street", "series_metadata_name": "hollow_crown",
+        "books": [{"number_in_series": 1, "title": "Number Nine", "book_metadata_name": "01_nine", "number_of_chapters": 7}],
+    },
+]
+
+
 def test_series_and_characters(spark, tmp_path):
-    series = readers.read_series(spark, t.SERIES_ROWS)
+    series = readers.read_series(spark, SERIES_ROWS)
     assert [tuple(r["entity_settings"]) for r in series.orderBy("series_id").collect()] == [(["Mother"], ["Captain", "Dame"]), ([], [])]
     assert catalog.find_series(series, "hollow_crown").first()["series_id"] == 2
     assert catalog.find_series(series, "none").count() == 0

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import sentences
 from ..functions.vectors import cosine_distance
+from ..sources.workspace import stored
+from .running import percentile, running, with_next
 
 CHUNK_SIZE, OVERLAP = 1000, 50
 # Fixed value: a chapter heading at the start of a line, with its number or word.
@@ -113,21 +115,23 @@ def adjacent_distance(rows: DataFrame, per: Sequence[str], order: str, embedding
     """
     if need_two and (alone := rows.groupBy(*per).count().filter("count < 2").limit(1).collect()):
         raise ValueError(f"a distance needs two rows: {alone[0].asDict()}")
-    return rows.withColumn("distance", cosine_distance(F.col(embedding), F.lead(embedding).over(Window.partitionBy(*per).orderBy(order))))
+    near = with_next(rows, per, order, [embedding], "__next")
+    return near.withColumn("distance", cosine_distance(F.col(embedding), F.col(f"__next.{embedding}"))).drop("__next")
 
 
 def breakpoints(distances: DataFrame, per: Sequence[str], share: float = 0.95) -> DataFrame:
     """A row per group with ``cut``, the exact percentile of its distances by linear interpolation."""
-    return distances.groupBy(*per).agg(F.percentile("distance", F.lit(share)).alias("cut"))
+    return percentile(distances, per, "distance", share, "cut")
 
 
 def segments(rows: DataFrame, per: Sequence[str], order: str, share: float = 0.95) -> DataFrame:
     """Rows with ``segment``: how many distances above the cut come before."""
-    measured = adjacent_distance(rows, per, order)
+    measured = stored(adjacent_distance(rows, per, order))
     cut = breakpoints(measured, per, share)
-    before = Window.partitionBy(*per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    is_break = F.when(F.col("distance") > F.col("cut"), 1).otherwise(0)
-    return measured.join(cut, list(per)).withColumn("segment", F.coalesce(F.sum(is_break).over(before), F.lit(0)).cast("int")).drop("distance", "cut")
+    cuts = cut.select(*[F.col(c).alias(f"__{c}") for c in per], "cut")
+    joined = measured.join(cuts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in per]).drop(*[f"__{c}" for c in per])
+    counted = running(joined.withColumn("__break", F.when(F.col("distance") > F.col("cut"), 1).otherwise(0)), per, [order], {"__so_far": "__break"})
+    return counted.withColumn("segment", (F.col("__so_far") - F.col("__break")).cast("int")).drop("distance", "cut", "__break", "__so_far", "__so_far_total")
 
 
 def _merge_small(texts: list[str], vectors: list[np.ndarray], least: int) -> list[tuple[str, np.ndarray]]:

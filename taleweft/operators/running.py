@@ -1,4 +1,4 @@
-"""Running sums over ordered groups of any size."""
+"""Running sums, neighbours and ranks over ordered groups of any size."""
 
 from __future__ import annotations
 
@@ -28,3 +28,34 @@ def running(rows: DataFrame, per: Sequence[str], order: Sequence[str], sums: Map
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in per]
     joined = counted.join(offsets.alias("o"), [F.col("r.__range") == F.col("o.__range"), *same])
     return joined.select(*[f"r.{c}" for c in rows.columns], *[(F.col(f"{n}_before") + F.col(f"{n}_in")).alias(n) for n in sums], *[f"{n}_total" for n in sums])
+
+
+def with_next(rows: DataFrame, per: Sequence[str], order: str, columns: Sequence[str], into: str = "next") -> DataFrame:
+    """``rows`` with a struct of the columns of the group's next row; null for its last.
+
+    The order is cut into ranges, so a group may span many tasks; a range's last row gets its
+    neighbour from a table of one row per group and range.
+    """
+    ranged = stored(rows.repartitionByRange(*per, order).withColumn("__range", F.spark_partition_id()))
+    firsts = ranged.groupBy(*per, "__range").agg(F.min_by(F.struct(*columns), F.struct(order)).alias("__first"))
+    after = Window.partitionBy(*per).orderBy("__range")
+    nexts = firsts.select(*per, "__range", F.lead("__first").over(after).alias("__after")).alias("o")
+    inside = ranged.withColumn("__in", F.lead(F.struct(*columns)).over(Window.partitionBy("__range", *per).orderBy(order))).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in per]
+    joined = inside.join(nexts, [F.col("r.__range") == F.col("o.__range"), *same])
+    return joined.select(*[f"r.{c}" for c in rows.columns], F.coalesce("__in", "__after").alias(into))
+
+
+def percentile(rows: DataFrame, per: Sequence[str], value: str, share: float, into: str) -> DataFrame:
+    """A row per group with the exact percentile of a column by linear interpolation; null where all values are.
+
+    Ranks are running counts over ranges; of a group only the two values around the percentile meet.
+    """
+    values = rows.filter(F.col(value).isNotNull()).select(*per, value, F.lit(1).alias("__one"))
+    ranked = running(values, per, [value], {"__n": "__one"})
+    at = F.lit(share) * (F.col("__n_total") - 1)
+    near = ranked.filter((F.col("__n") - 1 == F.floor(at)) | (F.col("__n") - 1 == F.ceil(at)))
+    low, high = F.min(value), F.max(value)
+    cut = near.groupBy(*per).agg((low + (high - low) * F.first(at - F.floor(at))).alias(into)).alias("c")
+    groups = rows.select(*per).distinct().alias("g")
+    return groups.join(cut, [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in per], "left").select(*[f"g.{c}" for c in per], into)

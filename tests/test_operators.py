@@ -358,6 +358,39 @@ def test_running_sums_in_any_layout(spark, parts):
         assert got[i] == (sum(x for j, x in same if j <= i), sum(x for _, x in same), sum(j <= i for j, _ in same))
 
 
+@pytest.mark.parametrize("parts", [2, 9])
+def test_one_hot_group_is_split_over_ranges(spark, parts):
+    """Neighbours, percentiles and segments of a group that holds most rows equal a fold over it, whatever the ranges; null groups too."""
+    import random
+
+    import numpy as np
+
+    from taleweft.operators.running import percentile, with_next
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), i, [rng.random() + 0.1, rng.random()]) for i in range(300)] + [("alone", 1000, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, i long, embedding array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = {g: sorted((i, v) for h, i, v in rows if h == g) for g in {r[0] for r in rows}}
+        nxt = {(r["g"], r["i"]): r["n"] and r["n"]["i"] for r in with_next(df, ["g"], "i", ["i"], "n").collect()}
+        assert nxt == {(g, i): after for g, mine in groups.items() for (i, _), after in zip(mine, [j for j, _ in mine[1:]] + [None], strict=True)}
+        assert with_next(df, ["g"], "i", ["i"]).groupBy("g").agg(F.count("*").alias("n")).count() == 4
+        got = {r["g"]: r["p"] for r in percentile(df.withColumn("x", F.when(F.col("i") < 1000, F.col("i") % 17 + 0.5)), ["g"], "x", 0.95, "p").collect()}
+        assert got == {g: pytest.approx(np.quantile([i % 17 + 0.5 for i, _ in mine if i < 1000], 0.95)) if g != "alone" else None for g, mine in groups.items()}
+        told = {(r["g"], r["i"]): r["segment"] for r in chunking.segments(df, ["g"], "i").collect()}
+        far = lambda a, b: 1 - np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+        for g, mine in groups.items():
+            steps = [far(a, b) for (_, a), (_, b) in zip(mine, mine[1:], strict=False)]
+            cut = np.quantile(steps, 0.95) if steps else 0
+            assert [told[g, i] for i, _ in mine] == [sum(s > cut for s in steps[:k]) for k in range(len(mine))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     from types import SimpleNamespace
 

@@ -135,19 +135,22 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", weights: tupl
     """All rows of ``df`` with their copies in the mix (int), their source's target and size.
 
     ``size`` is a column of whole numbers; null or negative counts as 0, and a document of
-    size 0 takes part in the count alone. A null source is one of its own. Wholly equal rows
-    are one unit: each of them gets the same copies. A source without words takes nothing.
+    size 0 takes part in the count alone. A null source is one of its own. Of wholly
+    equal rows each gets the whole part of its rate, and as many of them one more as the rest
+    asks for, give or take one; which of them is no difference. A source without words takes nothing.
     An empty table gives an empty result. Equal input gives an equal result, in any layout.
     """
     kept = without(df, copies, target, source_size)
-    keyed = kept.select(F.struct("*").alias("__row"), row_hash(kept, seed).alias("__key"), F.col(source).alias("__src"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("__sz"))
+    keyed = kept.select(F.struct("*").alias("__row"), row_hash(kept, seed).alias("__key"), row_hash(kept, seed + 1).alias("__key2"), F.col(source).alias("__src"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("__sz"))
     per = stored(targets(keyed, "__src", "__sz", weights, max_repeat))
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(F.lit(0.0))
     base = F.floor(rate + EPS)
-    units = keyed.groupBy("__src", "__key").agg(F.sum("__sz").alias("__unit"))
+    # Of n equal rows floor(n p) are taken once more and one is left to chance, so they're one unit of a row's size.
+    units = keyed.groupBy("__src", F.xxhash64("__key", "__key2").alias("__key"), F.col("__sz").alias("__unit")).agg(F.count("*").alias("__many"))
     joined = units.alias("u").join(per.alias("s"), F.col("u.__src").eqNullSafe(F.col("s.__src")))
-    step = joined.select("__rank", "__key", "__unit", F.ceil(F.col("__n") / block_rows).alias("__blocks"), base.alias("__base"), F.greatest(rate - base, F.lit(0.0)).alias("__p"))
-    schema = "__rank int, __key long, __unit long, __blocks long, __base long, __p double"
+    step = joined.select("__rank", "__key", "__unit", F.ceil(F.col("__n") / block_rows).alias("__blocks"), base.alias("__base"), (F.col("__many") * F.greatest(rate - base, F.lit(0.0))).alias("__q"))
+    step = step.select("__rank", "__key", "__unit", "__blocks", "__base", F.floor(F.col("__q") + EPS).alias("__sure"), F.greatest(F.col("__q") - F.floor(F.col("__q") + EPS), F.lit(0.0)).alias("__p"))
+    schema = "__rank int, __key long, __unit long, __blocks long, __base long, __sure long, __p double"
     most = per.agg(F.max("__n")).first()[0] or 0
     blocks, level, done = -(-most // block_rows), 0, []
     while True:
@@ -160,9 +163,11 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", weights: tupl
             break
         step = moved.filter(~settled).withColumn("__blocks", F.ceil(2 * F.col("__blocks") / block_rows))
         blocks, level = -(-2 * blocks // block_rows), level + 1
-    chosen = reduce(DataFrame.unionByName, done).select(F.col("__key").alias("__k"), "__rank", (F.col("__base") + F.col("__p")).cast("int").alias("__copies"))
+    chosen = reduce(DataFrame.unionByName, done).select(F.col("__key").alias("__k"), "__rank", F.col("__base").cast("int").alias("__base"), (F.col("__sure") + F.col("__p").cast("long")).alias("__more"))
     with_target = chosen.join(F.broadcast(per) if most and per.count() <= 10_000 else per, "__rank")
-    out = keyed.join(with_target.select("__k", "__copies", "__target", "__size"), F.col("__key") == F.col("__k"))
+    alike = keyed.groupBy(F.xxhash64("__key", "__key2").alias("__key"), "__key2").agg(F.first("__row").alias("__row"), F.count("*").alias("__many"))
+    joined = alike.join(with_target.select("__k", "__base", "__more", "__target", "__size"), F.col("__key") == F.col("__k"))
+    out = joined.withColumn("__i", F.explode(F.sequence(F.lit(1), "__many"))).withColumn("__copies", F.col("__base") + (F.col("__i") <= F.col("__more")).cast("int"))
     return out.select("__row.*", F.col("__copies").alias(copies), F.col("__target").alias(target), F.col("__size").alias(source_size))
 
 

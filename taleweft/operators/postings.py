@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key
-from .search import MAX_RESULTS, THRESHOLD, WINDOW, Strategy, best_first, keywords, near_words
+from .search import MAX_RESULTS, THRESHOLD, WINDOW, Strategy, best_first, keywords, near_words, phrases
 
 BUCKETS = 32
 #: A common token is dealt to so many tasks of its bucket.
 PARTS = 8
 #: What a posting says of its chunk.
 PLACE = ("series_id", "book_number", "chapter_number", "level", "chunk_index", "book_position", "is_summary", "lang")
-POSTINGS = "token string, size int, positions array<int>, series_id int, book_number int, chapter_number int, level int, chunk_index int, book_position double, is_summary boolean, lang string, bucket int"
+POSTINGS = "token string, size int, positions array<int>, spaced array<int>, series_id int, book_number int, chapter_number int, level int, chunk_index int, book_position double, is_summary boolean, lang string, bucket int"
 VOCABULARY = "token string, length int"
 NEIGHBOURS = "variant bigint, token string, bucket int"
 #: Words of up to WORD_LENGTH characters resemble only tokens of up to NEAR_LENGTH, within two edits.
@@ -46,26 +46,37 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def grouped(tokens: Column) -> Column:
-    """array<struct<token, positions>>: each distinct token of an array with its places, ascending."""
+def single_spaces(text: Column) -> Column:
+    """For each token of a text, in order, whether one plain space stands before it."""
+    gaps = F.regexp_extract_all(text, F.lit(r"(?U)(\s+)"))
+    inner = F.when(text.rlike(r"(?U)^\s"), F.slice(gaps, 2, F.size(gaps))).otherwise(gaps)
+    return F.concat(F.array(F.lit(False)), F.transform(inner, lambda g: g == " "))
+
+
+def grouped(tokens: Column, spaced: Column | None = None) -> Column:
+    """array<struct<token, positions, spaced>>: each distinct token of an array with its places,
+    ascending, and those of them that an array of flags names."""
 
     def runs(pairs: Column, starts: Column) -> Column:
         size = lambda i, k: F.coalesce(F.try_element_at(starts, k + 2), F.size(pairs) + 1) - i
         places = lambda i, k: F.transform(F.slice(pairs, i, size(i, k)), lambda x: x["p"])
-        return F.transform(starts, lambda i, k: F.struct(F.element_at(pairs, i)["t"].alias("token"), places(i, k).alias("positions")))
+        named = lambda i, k: F.transform(F.filter(F.slice(pairs, i, size(i, k)), lambda x: x["s"]), lambda x: x["p"])
+        return F.transform(starts, lambda i, k: F.struct(F.element_at(pairs, i)["t"].alias("token"), places(i, k).alias("positions"), named(i, k).alias("spaced")))
 
     def split(pairs: Column) -> Column:
         begins = lambda i: (i == 1) | (F.element_at(pairs, i)["t"] != F.element_at(pairs, F.greatest(i - 1, F.lit(1)))["t"])
         return _let(F.struct(pairs.alias("a"), F.filter(F.sequence(F.lit(1), F.size(pairs)), begins).alias("s")), lambda x: runs(x["a"], x["s"]))
 
-    sorted_ = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("p"))))
-    return F.when(F.size(tokens) > 0, _let(sorted_, split)).otherwise(F.array().cast("array<struct<token: string, positions: array<int>>>"))
+    flags = F.transform(tokens, lambda _: F.lit(False)) if spaced is None else F.slice(spaced, 1, F.size(tokens))
+    pairs = F.zip_with(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("p"))), flags, lambda x, f: F.struct(x["t"].alias("t"), x["p"].alias("p"), f.alias("s")))
+    none = F.array().cast("array<struct<token: string, positions: array<int>, spaced: array<int>>>")
+    return F.when(F.size(tokens) > 0, _let(F.array_sort(pairs), split)).otherwise(none)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """A row for each distinct token of each chunk; chunks need ``tokens`` and the columns of PLACE."""
-    rows = chunks.select(*PLACE, F.size("tokens").alias("size"), F.explode(grouped(F.col("tokens"))).alias("p"))
-    return rows.select("p.token", "size", "p.positions", *PLACE).withColumn("bucket", bucket(F.col("token")))
+    """A row for each distinct token of each chunk; chunks need ``text``, ``tokens`` and the columns of PLACE."""
+    rows = chunks.select(*PLACE, F.size("tokens").alias("size"), F.explode(grouped(F.col("tokens"), single_spaces(F.col("text")))).alias("p"))
+    return rows.select("p.token", "size", "p.positions", "p.spaced", *PLACE).withColumn("bucket", bucket(F.col("token")))
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
@@ -173,11 +184,53 @@ def fuzzy(index: Index, query: str, threshold: float = THRESHOLD, guard: Guard |
         return exact(index, query, threshold, guard)
     alike = reduce(DataFrame.unionByName, [index.alike(w) for w in words]).withColumn("bucket", bucket(F.col("token")))
     hits = guard(index.postings) if guard else index.postings
-    held = hits.drop("positions", "size").join(alike, ["bucket", "token"]).groupBy(*PLACE).agg(F.sort_array(F.collect_set("word")).alias("words"))
+    held = hits.drop("positions", "spaced", "size").join(alike, ["bucket", "token"]).groupBy(*PLACE).agg(F.sort_array(F.collect_set("word")).alias("words"))
     return _shown(held.withColumn("score", F.size("words") / F.lit(float(len(words)))), "fuzzy", threshold, F.col("words"))
 
 
-STRATEGIES = {Strategy.EXACT: exact, Strategy.PROXIMITY: proximity, Strategy.FUZZY: fuzzy}
+def _containing(index: Index, phrase_: str, guard: Guard | None) -> DataFrame:
+    """PLACE of chunks that contain a phrase of words one space apart.
+
+    Its first word ends a token, its last one begins a token, and those between are tokens, all
+    in a row with one space before each but the first: so the vocabulary and places decide,
+    and no text is read.
+    """
+    words = phrase_.split(" ")
+    fits = [F.col("token").contains(phrase_)] if len(words) == 1 else [F.col("token").endswith(words[0]), *(F.col("token") == w for w in words[1:-1]), F.col("token").startswith(words[-1])]
+    least = [F.col("length") >= min(len(w), LONG) for w in words]
+    wanted = reduce(DataFrame.unionByName, [index.vocabulary.filter(n & fit).select("token", F.lit(i).alias("__i")) for i, (n, fit) in enumerate(zip(least, fits, strict=True))])
+    hits = guard(index.postings) if guard else index.postings
+    held = hits.join(wanted.withColumn("bucket", bucket(F.col("token"))), ["bucket", "token"])
+    if len(words) == 1:
+        return held.select(*PLACE).distinct()
+    at = held.select(*PLACE, "__i", F.explode(F.when(F.col("__i") == 0, F.col("positions")).otherwise(F.col("spaced"))).alias("__p"))
+    rows = at.groupBy(*PLACE, (F.col("__p") - F.col("__i")).alias("__at")).agg(F.count_distinct("__i").alias("__n"))
+    return rows.filter(F.col("__n") == len(words)).select(*PLACE).distinct()
+
+
+def phrase(index: Index, query: str, threshold: float = THRESHOLD, guard: Guard | None = None, strict: bool = False) -> DataFrame:
+    """Share of the phrases that a chunk contains, for phrases of words one space apart.
+
+    Others need the texts: an empty phrase is in every text, and other white space isn't
+    indexed. search.phrase() scans for those.
+    """
+    wanted = phrases(query, strict)
+    if not wanted:
+        return exact(index, "", threshold, guard)
+    if not indexed(wanted):
+        raise ValueError(f"a scan is needed for {wanted}")
+    found = reduce(DataFrame.unionByName, [_containing(index, p, guard).withColumn("__w", F.lit(i)) for i, p in enumerate(wanted)])
+    listed = F.array(*map(F.lit, wanted))
+    held = found.groupBy(*PLACE).agg(F.transform(F.sort_array(F.collect_set("__w")), lambda i: F.element_at(listed, i + 1)).alias("hit"))
+    return _shown(held.withColumn("score", F.size("hit") / F.lit(float(len(wanted)))), "phrase", threshold, F.col("hit"))
+
+
+def indexed(wanted: list[str]) -> bool:
+    """Whether places alone decide on all phrases."""
+    return all(p and " ".join(p.split()) == p and not any(ord(c) < 32 for c in p) for p in wanted)
+
+
+STRATEGIES = {Strategy.EXACT: exact, Strategy.PHRASE: phrase, Strategy.PROXIMITY: proximity, Strategy.FUZZY: fuzzy}
 
 
 def search(index: Index, query: str, strategy: Strategy | str = Strategy.EXACT, threshold: float = THRESHOLD, max_results: int = MAX_RESULTS, guard: Guard | None = None) -> DataFrame:

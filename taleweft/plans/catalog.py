@@ -74,7 +74,7 @@ def _phrase_sql(text: str, strict: bool = False) -> str:
 
 @query("phrase_search_quoted", _phrase_sql(QUOTED))
 def phrase_search_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(t.chunks(spark, sf_dir), QUOTED, "phrase"))
+    return _shown(postings.search(t.index(spark, sf_dir), QUOTED, "phrase"))
 
 
 @query("phrase_search_unquoted", _phrase_sql(RUN))
@@ -85,7 +85,7 @@ def phrase_search_unquoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("phrase_search_strict", _phrase_sql(RUN, strict=True))
 def phrase_search_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An unquoted run of words as a phrase of its own."""
-    return _shown(search.best_first(search.phrase(t.chunks(spark, sf_dir), RUN, strict=True)))
+    return _shown(search.best_first(postings.phrase(t.index(spark, sf_dir), RUN, strict=True)))
 
 
 @query(

@@ -51,6 +51,23 @@ def test_searches_of_the_index_equal_scans(spark, noisy, query):
     assert found(postings.exact(index, query, guard=lambda rows: apply_filters(rows, guard))) == found(search.exact(apply_filters(chunks, guard), query))
 
 
+@pytest.mark.parametrize("query", ['"ab ba"', '"a" "b ab a"', '"b a" "é ab" "ab ab ab"', '"bab" "zz z"'])
+def test_phrases_by_places_equal_a_scan(spark, noisy, query):
+    chunks = tables.chunks(spark, noisy).dropDuplicates(["chunk_key"])
+    assert found(postings.phrase(tables.index(spark, noisy), query)) == found(search.phrase(chunks, query))
+
+
+def test_white_space_of_other_kinds_breaks_a_phrase(spark, tmp_path):
+    rows = [(1, " of the end", "en", "s", 1), (2, "of\tthe", "en", "s", 1), (3, "of  the", "en", "s", 1), (4, "\nroof there. of", "en", "s", 1), (5, "of\u00a0the x of the", "en", "s", 1), (6, "of the" * 2 + " ", "en", "s", 1), (7, "the of", "en", "s", 1), (8, "OF THE", "en", "s", 1)]
+    path = folder(spark, tmp_path, rows)
+    chunks, index = tables.chunks(spark, path), tables.index(spark, path)
+    for query in ('"of the"', '"of theof"', '"of the end"', '"f t"', '"the"', '"of the x of the"', '"of the" "the of"'):
+        assert found(postings.phrase(index, query)) == found(search.phrase(chunks, query)), query
+    assert not postings.indexed([""]) and not postings.indexed(["a\tb"]) and not postings.indexed(["a  b"]) and postings.indexed(["a b", "c"])
+    with pytest.raises(ValueError):
+        postings.phrase(index, "of the end")
+
+
 def test_fuzzy_by_neighbours_equals_brute_force(spark, noisy):
     """Words of all lengths: by the neighbour table up to eleven characters, by the vocabulary's folders beyond."""
     index = tables.index(spark, noisy)
@@ -79,7 +96,7 @@ def test_edits_cover_all_pairs_of_lengths():
 
 def test_blank_queries_find_nothing(spark, noisy):
     index = tables.index(spark, noisy)
-    for strategy in postings.STRATEGIES:
+    for strategy in postings.STRATEGIES:  # all give an empty table
         assert postings.search(index, "  ", strategy).count() == 0
 
 
@@ -89,6 +106,8 @@ def test_a_search_reads_only_the_folders_of_its_words(spark, data):
     assert "bucket" in folders and "In(token" in plan and "text" not in plan
     fuzzy = plan_of(postings.fuzzy(tables.index(spark, data), "tthat"))
     assert "In(variant" in fuzzy and "text" not in fuzzy  # distances are taken of neighbours, not of texts
+    phrase = plan_of(postings.phrase(tables.index(spark, data), '"of the"'))
+    assert "token" in phrase and "text" not in phrase
     with_texts = postings.texts(postings.search(tables.index(spark, data), "that the"), tables.chunks(spark, data))
     assert with_texts.count() == 20
     scan = plan_of(with_texts).split("PartitionFilters: [")[1].split("PushedFilters: [")

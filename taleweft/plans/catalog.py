@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key, complete_key, context_block, context_line, tokens
 from ..operators import chunking, cluster, conversation, hierarchy, postings, relevance, search, vector
+from ..operators.embedded import Vectors
 from ..operators.predicates import ContextFilters, apply_filters
 from ..providers import LocalDecisions, hashed_embedding, keep_text
 from ..sources import writers
-from ..sources.workspace import stored
+from ..sources.workspace import stored, work_dir
 from . import book_queries, many, store_queries  # noqa: F401  some register theirs
 from . import tables as t
 from .ask import N_CHUNKS, Library, retrieve
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .shelf import files, mark_of, shelf
 
 WORDS = "that the and of by"
 NEAR = "the of the with"
@@ -364,14 +366,27 @@ def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    """The documents as a library whose summaries are those of the vectors' labels."""
+    """The documents as a library whose summaries are those of the vectors' labels.
+
+    It's kept beside the chunk table while the files of both tables stay as they are; when
+    they don't, only texts that have no vector yet are embedded.
+    """
+    kept = shelf(spark, sf_dir)
+    marks = (kept.mark, mark_of(files(spark, f"{sf_dir}/embeddings.parquet")))
+    if kept.made.get("library", (None, None))[0] != marks:
+        vectors = kept.made.setdefault("vectors", (None, Vectors(spark, work_dir(spark))))[1]
+        kept.made["library"] = marks, _library(spark, sf_dir, vectors)
+    return kept.made["library"][1]
+
+
+def _library(spark: SparkSession, sf_dir: str, vectors: Vectors) -> Library:
     level_1 = t.chunks(spark, sf_dir).join(t.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
     labelled = level_1.filter("label IS NOT NULL")
     made = hierarchy.cluster_summaries(labelled, ["label"]).join(labelled.groupBy("label").agg(F.min("book_number").alias("book_number")), "label")
     level_2 = made.select(F.lit(1).alias("series_id"), "book_number", F.lit(0).alias("chapter_number"), F.lit(2).alias("level"), F.col("label").alias("chunk_index"), keep_text(F.col("text")).alias("text"), F.lit(True).alias("is_summary"), "label", tokens(F.col("text")).alias("tokens"))
     level_2 = level_2.withColumn("chunk_key", chunk_key(*(F.col(c) for c in ("series_id", "book_number", "chapter_number", "level", "chunk_index"))))
     columns = ["chunk_key", "series_id", "book_number", "chapter_number", "level", "text", "is_summary", "tokens"]
-    both = stored(level_1.select(*columns).unionByName(level_2.select(*columns)).withColumn("embedding", hashed_embedding()(F.col("text"))))
+    both = stored(vectors.of(stored(level_1.select(*columns).unionByName(level_2.select(*columns))), hashed_embedding()))
     edges = hierarchy.edges_from_labels(labelled.select("chunk_key", "label"), level_2, ["label"])
     return Library(both, stored(edges))  # each step of a question reads them
 

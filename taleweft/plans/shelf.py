@@ -25,12 +25,18 @@ CHUNKS_SCHEMA = "doc_id long, series_id int, chapter_number int, level int, chun
 GENERATIONS = 6
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
     """What Spark lists below a path; contents aren't read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return listed.select("path", "length", "modificationTime")
 
 
+def mark_of(listed: DataFrame) -> tuple:
+    """Number and hash of listed files."""
+    file = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    return tuple(listed.agg(F.count("*"), F.coalesce(F.bit_xor(file), F.lit(0)), F.coalesce(F.sum(file.cast("decimal(20,0)")), F.lit(0))).first())
+
+
 @dataclass
 class Shelf:
     """Stored generations of one folder's chunks; ``books`` of each that a later one replaces are skipped."""
@@ -41,6 +47,7 @@ class Shelf:
     mark: tuple | None = None
     generations: list[list[int]] = field(default_factory=list)  # books that each wrote
     tokenised: bool = False
+    made: dict[str, tuple] = field(default_factory=dict)  # what others keep beside it: name -> (marks, value)
 
     def _part(self, name: str, schema: str, skip: bool = True) -> DataFrame:
         out = None
@@ -66,9 +73,8 @@ class Shelf:
         )
 
     def refresh(self) -> None:
-        listed = _files(self.spark, self.source)
-        file = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
-        mark = tuple(listed.agg(F.count("*"), F.coalesce(F.bit_xor(file), F.lit(0)), F.coalesce(F.sum(file.cast("decimal(20,0)")), F.lit(0))).first())
+        listed = files(self.spark, self.source)
+        mark = mark_of(listed)
         if mark == self.mark:
             return
         new = None

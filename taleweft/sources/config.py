@@ -16,16 +16,14 @@ REQUIRED = ("SERIES_PATH", "N_CHUNKS", "REDIS_EXPIRE", "PROMPTS_PATH")
 
 
 def load(path: str | Path) -> Any:
-    """A JSON or YAML file; YAML without a library for it is read by :mod:`.plainyaml`."""
+    """A JSON or YAML file; YAML needs its library."""
     text = Path(path).read_text()
     if str(path).endswith(".json"):
         return json.loads(text)
     try:
         import yaml
-    except ImportError:
-        from . import plainyaml
-
-        return plainyaml.load(text)
+    except ImportError as e:
+        raise ImportError(f"{path}: install PyYAML or give the file as JSON") from e
     return yaml.safe_load(text)
 
 

@@ -18,6 +18,9 @@ tasks:
    its blocks.
 3. Blocks are edited independently of each other.
 
+A conversation that lies in one block inside its range, as most do, is repaired where it's
+packed; only the others go on to 2 and 3.
+
 Only the digest of a repaired conversation must pass all its text in order, as SHA-256 is a
 chain: blocks stream through it, and just those of conversations of several blocks.
 """
@@ -186,7 +189,8 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 BLOCK = (
     "part int, seq int, kinds array<int>, copies array<bigint>, roles array<string>, texts array<string>, costs array<bigint>, ranks array<int>, "
-    "blank bigint, duplicate bigint, truncated bigint, illegal bigint, turns bigint, low bigint, high bigint, opens string, closes string"
+    "blank bigint, duplicate bigint, truncated bigint, illegal bigint, turns bigint, low bigint, high bigint, opens string, closes string, "
+    "whole boolean, gaps bigint, cost bigint, audit string, digest string"
 )
 WAY = "part int, seq int, enter int, leave int, tail int, blocks bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint"
 FACTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
@@ -203,35 +207,85 @@ def _legal(a: str, b: str) -> bool:
     return a + b in ("su", "ua", "au")
 
 
+def _repaired(layers: Layers, b: dict, enter: int, leave: int, tail: int) -> tuple[str, list[str], list[str]]:
+    """Audit, roles and texts of a block that is entered and left in two states, with turns inserted at its end."""
+    state, audit, roles, texts = enter, [], [], []
+    for code, n, role, text in zip(_edited(layers, b["kinds"], enter, leave), b["copies"], b["roles"], b["texts"], strict=True):
+        audit.append(code + "D" * (n - 1))
+        for letter in code:
+            if letter == "D":
+                continue
+            state = SYSTEM if letter == "K" and role[:1] == "s" else _inserted(state)
+            roles.append(role if letter == "K" else NAMES[state])
+            texts.append("" if letter == "I" else text)
+    for _ in range(tail):
+        state = _inserted(state)
+        audit.append("I")
+        roles.append(NAMES[state])
+        texts.append("")
+    return "".join(audit), roles, texts
+
+
+def _sha(roles: list[str], texts: list[str]) -> str:
+    return hashlib.sha256("\n".join(f"{r}:{t}" for r, t in zip(roles, texts, strict=True)).encode()).hexdigest()
+
+
 def _pack(schema: pa.Schema, block_rows: int, block_bytes: int) -> Callable:
-    """Sorted rows to blocks: each of one conversation, summarised."""
+    """Sorted rows to blocks: each of one conversation, summarised.
+
+    A conversation of one block that begins and ends inside the range is whole: it's repaired
+    at once, and its block holds the repaired turns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, layers = TaskContext.get().partitionId(), Layers()
-        seq, size, rows = 0, 0, []
+        seq, size, begun, rows, held, out = 0, 0, False, [], None, []  # ``held``: the block before, until it's known what follows
 
-        def block() -> pa.RecordBatch:
+        def block() -> dict:
             nonlocal seq, size, rows
             kinds, copies, roles, texts, turns = ([r[k] for r in rows] for k in ("kind", "copies", "role", "text", "turn"))
             costs, ranks = _summary(layers, kinds, copies)
-            counts = [sum(r[k] for r in rows) for k in ("blank", "duplicate", "truncated")]
+            counts = {k: sum(r[k] for r in rows) for k in ("blank", "duplicate", "truncated")}
             firsts = [r[:1] for r in roles]
             illegal = sum(not _legal(a, b) for a, b in zip(firsts, firsts[1:], strict=False)) + sum(n - 1 for n in copies)  # no role may follow itself
             known = [t for t in turns if t is not None]
-            out = (rows[0]["conv"], part, seq, kinds, copies, roles, texts, costs, ranks, *counts, illegal, len(set(known)), min(known, default=None), max(known, default=None), firsts[0], firsts[-1])
+            made = {
+                "conv": rows[0]["conv"], "part": part, "seq": seq, "kinds": kinds, "copies": copies, "roles": roles, "texts": texts, "costs": costs, "ranks": ranks, **counts, "illegal": illegal,
+                "turns": len(set(known)), "low": min(known, default=None), "high": max(known, default=None), "opens": firsts[0], "closes": firsts[-1], "whole": False, "gaps": None, "cost": None, "audit": None, "digest": None,
+            }
             seq, size, rows = seq + 1, 0, []
-            return _table([out], schema)
+            return made
+
+        def finish(b: dict) -> dict:
+            cost, ((enter, leave),), tail = _fold([(b["costs"], b["ranks"])])
+            audit, roles, texts = _repaired(layers, b, enter, leave, tail)
+            gaps = b["high"] - b["low"] + 1 - b["turns"] if b["low"] is not None else 0
+            return b | {"roles": roles, "texts": texts, "whole": True, "gaps": gaps, "cost": cost, "audit": audit, "digest": _sha(roles, texts), "kinds": [], "copies": [], "costs": [], "ranks": []}
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            table = _table([tuple(b[n] for n in schema.names) for b in out], schema)
+            out = []
+            return table
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 for row in batch.slice(start, 256).to_pylist():
                     grown = len(row["text"].encode())
-                    if rows and (row["conv"] != rows[0]["conv"] or len(rows) >= block_rows or size + grown > block_bytes):
-                        yield block()
+                    other = bool(rows) and row["conv"] != rows[0]["conv"]
+                    if rows and (other or len(rows) >= block_rows or size + grown > block_bytes):
+                        made = block()
+                        alone = begun and held is None and other
+                        out.append(finish(made) if alone else made)
+                        begun, held = begun or other, None if other else made
+                        if len(out) >= 64 or size > block_bytes or held is not None:
+                            yield flush()
                     rows.append(row)
                     size += grown
         if rows:
-            yield block()
+            out.append(block())
+        if out:
+            yield flush()
 
     return run
 
@@ -275,25 +329,12 @@ def _edit(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layers = Layers()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
+            for i in range(0, batch.num_rows, 16):
                 out = []
-                for b in batch.slice(i, 64).to_pylist():
-                    state, audit, roles, texts = b["enter"], [], [], []
-                    for code, n, role, text in zip(_edited(layers, b["kinds"], b["enter"], b["leave"]), b["copies"], b["roles"], b["texts"], strict=True):
-                        audit.append(code + "D" * (n - 1))
-                        for letter in code:
-                            if letter == "D":
-                                continue
-                            state = SYSTEM if letter == "K" and role[:1] == "s" else _inserted(state)
-                            roles.append(role if letter == "K" else NAMES[state])
-                            texts.append("" if letter == "I" else text)
-                    for _ in range(b["tail"]):
-                        state = _inserted(state)
-                        audit.append("I")
-                        roles.append(NAMES[state])
-                        texts.append("")
-                    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in zip(roles, texts, strict=True)).encode()).hexdigest() if b["blocks"] == 1 else None
-                    out.append((b["conv"], b["part"], b["seq"], "".join(audit), [{"role": r, "text": t} for r, t in zip(roles, texts, strict=True)], digest, *(b[k] for k in FACTS)))
+                for b in batch.slice(i, 16).to_pylist():
+                    audit, roles, texts = _repaired(layers, b, b["enter"], b["leave"], b["tail"])
+                    turns = [{"role": r, "text": t} for r, t in zip(roles, texts, strict=True)]
+                    out.append((b["conv"], b["part"], b["seq"], audit, turns, _sha(roles, texts) if b["blocks"] == 1 else None, *(b[k] for k in FACTS)))
                 yield _table(out, schema)
 
     return run
@@ -370,19 +411,23 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     blocks = stored(ranged.mapInArrow(_pack(arrow, block_rows, block_bytes), packed))
 
     way, arrow = _schemas(kind, WAY)
-    summaries = blocks.drop("kinds", "copies", "roles", "texts").repartition("conv").sortWithinPartitions("conv", "part", "seq")
+    open_ = blocks.filter("NOT whole")
+    summaries = open_.drop("kinds", "copies", "roles", "texts", "whole", "gaps", "cost", "audit", "digest").repartition("conv").sortWithinPartitions("conv", "part", "seq")
     ways = summaries.mapInArrow(_ways(arrow), way).alias("w")
-    led = blocks.select("conv", "part", "seq", "kinds", "copies", "roles", "texts").alias("b").join(ways, (F.col("b.part") == F.col("w.part")) & (F.col("b.seq") == F.col("w.seq")))
+    led = open_.select("conv", "part", "seq", "kinds", "copies", "roles", "texts").alias("b").join(ways, (F.col("b.part") == F.col("w.part")) & (F.col("b.seq") == F.col("w.seq")))
     led = led.select("b.*", *[f"w.{c}" for c in ("enter", "leave", "tail", "blocks", *FACTS)])
     facts = ", ".join(f"{k} bigint" for k in FACTS)
     edited, arrow = _schemas(kind, f"part int, seq int, audit string, turns array<struct<role: string, text: string>>, digest string, {facts}")
-    edits = stored(led.mapInArrow(_edit(arrow), edited))
+    edits = led.mapInArrow(_edit(arrow), edited)
 
     lines = F.when(F.col("digest").isNull(), F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))).alias("lines")
     final, arrow = _schemas(kind, f"{facts}, audit string, repaired_sha256 string")
     ordered = edits.select("conv", "part", "seq", "audit", "digest", *FACTS, lines).repartition("conv").sortWithinPartitions("conv", "part", "seq")
-    turns = edits.select("conv", "part", "seq", F.posexplode("turns").alias("place", "t")).select("conv", "part", "seq", "place", "t.role", "t.text")
-    return Repaired(ordered.mapInArrow(_digest(arrow), final), turns)
+    done = blocks.filter("whole")
+    results = done.select("conv", *FACTS, "audit", F.col("digest").alias("repaired_sha256")).unionByName(ordered.mapInArrow(_digest(arrow), final))
+    listed = done.select("conv", "part", "seq", F.arrays_zip(F.col("roles").alias("role"), F.col("texts").alias("text")).alias("turns"))
+    turns = listed.unionByName(edits.select("conv", "part", "seq", "turns")).select("conv", "part", "seq", F.posexplode("turns").alias("place", "t"))
+    return Repaired(results, turns.select("conv", "part", "seq", "place", "t.role", "t.text"))
 
 
 def damaged(rows: DataFrame) -> DataFrame:

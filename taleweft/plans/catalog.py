@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_key, complete_key, context_block, context_line, tokens
-from ..operators import chunking, cluster, conversation, hierarchy, postings, relevance, search, vector
+from ..operators import chunking, cluster, conversation, hierarchy, pivots, postings, relevance, search, vector
 from ..operators.embedded import Vectors
 from ..operators.predicates import ContextFilters, apply_filters
 from ..providers import LocalDecisions, hashed_embedding, keep_text
@@ -17,6 +17,7 @@ from . import tables as t
 from .ask import N_CHUNKS, Library, retrieve
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .shelf import files, mark_of, shelf
+from .vector_shelf import vector_table
 
 WORDS = "that the and of by"
 NEAR = "the of the with"
@@ -177,7 +178,9 @@ NEAREST = f"x.embedding IS NOT NULL AND q.vec_id = {QUERY_VECTOR}"
 
 @query("similarity_topk", f"SELECT x.vec_id, round({DIST}, 6) AS distance FROM embeddings x, embeddings q WHERE {NEAREST} ORDER BY {DIST}, x.vec_id LIMIT 10")
 def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.similar(t.vectors(spark, sf_dir), _query_vector(spark, sf_dir), key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+    """Reads only the folders and row groups that pivots can't rule out."""
+    found = pivots.nearest(vector_table(spark, sf_dir), _query_vector(spark, sf_dir), key="vec_id")
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +189,9 @@ def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    guarded = apply_filters(_with_vectors(spark, sf_dir), ContextFilters(book_number=8, chapter_number=3))
-    return vector.similar(guarded, _query_vector(spark, sf_dir))
+    guarded = apply_filters(t.chunks(spark, sf_dir), ContextFilters(book_number=8, chapter_number=3)).select("doc_id", "chunk_key", "book_number", "chapter_number")
+    allowed = lambda rows: rows.join(guarded, F.col("vec_id") == F.col("doc_id"))
+    return pivots.nearest(vector_table(spark, sf_dir), _query_vector(spark, sf_dir), narrow=allowed)
 
 
 FILTERED = f"WITH {t.CHUNKS}, top AS (SELECT k.chunk_key, book_number, chapter_number, {DIST} AS d FROM keyed k JOIN embeddings x ON x.vec_id = k.doc_id, embeddings q WHERE {NEAREST} AND (book_number < 8 OR (book_number = 8 AND chapter_number < 3)) ORDER BY d, chunk_key LIMIT 10) SELECT chunk_key, book_number, chapter_number, round(d, 6) AS distance FROM top"

@@ -38,6 +38,7 @@ TAG = re.compile(
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+WORD_END = re.compile(r"[-_:]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")  # class names are split at signs, capitals and numbers
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -45,7 +46,7 @@ DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status", "form"}
 #: Words of a class name that mark an element, if all its other words are of these or neutral.
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation "
+    "ad ads adv advert adverts advertorial advertorials advertisement advertisements advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar comment comments commentlist respond replies disqus footer masthead share sharing social related recommended newsletter subscribe signup login popup "
     "modal overlay pagination pager toolbar widget widgets skip".split()
 )
@@ -53,6 +54,9 @@ NEUTRAL = set(
     "area bar block bottom box btn button buttons container content fixed form global header icons inner item items js left link links list local main mobile outer page panel post posts primary "
     "reader readers right row secondary section site slot sticky sub thread top unit user users wrap wrapper zone".split()
 )
+#: Of those, words that mark reader comments where an id of them names any element that holds others.
+COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "disqus"}
+ANCHORS = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote", "hr", "dt", "dd", "td", "th", "tr", "legend", "caption"}
 WHOLE = {"html", "body", "main"}
 
 
@@ -65,7 +69,7 @@ class Line(NamedTuple):
 
 def _is_mark(names: str, inside: bool) -> bool:
     for word in names.split():
-        parts = [x for x in re.split(r"[-_:]+", word) if x and not x.isdigit()]
+        parts = [x.lower() for x in WORD_END.split(word) if x and not x.isdigit()]
         if not parts or parts[0] in ("has", "no", "with", "without"):
             continue
         if all(x in MARKS or x in NEUTRAL for x in parts) and (MARKS.intersection(parts) or "header" in parts and not inside):
@@ -76,13 +80,17 @@ def _is_mark(names: str, inside: bool) -> bool:
 def _marked(name: str, tag: str, inside: bool) -> tuple[bool, bool]:
     """Whether the attributes call an element boilerplate, and whether they call it the article.
 
-    Names of anchors (ids) say nothing of an element, but for those of ``div``.
+    Ids are names of anchors and say nothing of an element, but for those of ``div``, and for
+    those of other elements that hold blocks where they name reader comments.
     """
     drop = article = False
     for m in ATTR.finditer(tag, len(name) + 1):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = given.lower()
         if key == "class" or key == "id" and name == "div":
-            drop |= _is_mark(value, inside)
+            drop |= _is_mark(given, inside)
+        elif key == "id":
+            drop |= name not in ANCHORS and not COMMENTS.isdisjoint(x.lower() for x in WORD_END.split(given)) and _is_mark(given, inside)
         elif key == "role":
             drop |= value in ROLES
             article |= value in ("article", "main")

@@ -15,6 +15,9 @@ from taleweft.llm import html
         ('<article><h2 id="ad-hoc-queries">one</h2><p id="sharing-economy">two</p><h3 id="social-security">three</h3><div class="menu-planning">four</div></article>', "one two three four"),
         ("<main><h1>Story</h1><p>Real body text.</p><section><article><h3>Teaser</h3></article></section></main>", "Story Real body text."),
         ("<main><h1>News</h1><article>first long story</article><article>second</article></main>", "first long story second"),
+        ('<article>body<section id="comments"><h2>Comments</h2><p>first!</p></section><ol id="commentList-2"><li>no</li></ol><table id="reader_comments"><tr><td>x</td></tr></table></article>', "body"),
+        ('<article><h2 id="comments">On comments</h2><section id="comment-sections-of-law">kept</section><section id="advertising">kept too</section></article>', "On comments kept kept too"),
+        ('<article>one<div class="AdSlot-1">buy</div><p class="advertorial">paid</p><div class="adSlot2">more</div><p class="adSense iPad">two</p></article>', "one two"),
         ('<article>a<span class="ad">buy</span>b <b class="share-buttons">x</b></article><div class="site-footer">f</div>', "ab"),
     ],
 )

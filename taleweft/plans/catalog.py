@@ -17,7 +17,7 @@ from . import tables as t
 from .ask import N_CHUNKS, Library, retrieve
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .shelf import files, mark_of, shelf
-from .vector_shelf import vector_table
+from .vector_shelf import label_closure, vector_table
 
 WORDS = "that the and of by"
 NEAR = "the of the with"
@@ -236,12 +236,13 @@ DESCENT = t.TREE.replace("node AS", "RECURSIVE node AS", 1) + ", reached(chunk_k
 
 @query("descend_from_parents", f"WITH {DESCENT} SELECT DISTINCT chunk_key FROM reached")
 def descend_from_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descend(*_start(spark, sf_dir))
+    """One join with the kept closure of the hierarchy."""
+    return hierarchy.descend_closed(_start(spark, sf_dir)[0], label_closure(spark, sf_dir))
 
 
 @query("leaves_only", f"WITH {DESCENT} SELECT DISTINCT chunk_key FROM reached WHERE chunk_key NOT IN (SELECT parent_key FROM edge)")
 def leaves_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descend(*_start(spark, sf_dir), leaves_only=True)
+    return hierarchy.descend_closed(_start(spark, sf_dir)[0], label_closure(spark, sf_dir), leaves_only=True)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

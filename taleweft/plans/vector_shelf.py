@@ -1,17 +1,38 @@
-"""The pruned vector table of ``embeddings``, kept up to date with its files."""
+"""What is kept beside ``embeddings``, up to date with its files: the pruned vector table, and the closure of the label hierarchy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hierarchy import closure
 from ..operators.pivots import VectorTable, write_vectors
 from ..sources.workspace import work_dir
+from . import tables
 from .shelf import files, mark_of
 
 #: So many generations lie side by side before all is written anew.
 GENERATIONS = 16
 _kept: dict[tuple[str, str], tuple[tuple, list[tuple], VectorTable]] = {}
+_closures: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def label_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestor pairs of the label hierarchy as of now: new edges extend it; where edges went, it's made anew."""
+    mark = mark_of(files(spark, f"{sf_dir}/embeddings.parquet"))
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place in _closures and _closures[place][0] == mark:
+        return _closures[place][1]
+    edges = tables.label_tree(spark, sf_dir)[1].select("parent_key", "child_key")
+    known = _closures[place][1] if place in _closures else None
+    if known is not None:
+        held = known.filter("depth = 1").select(F.col("ancestor_key").alias("parent_key"), F.col("descendant_key").alias("child_key"))
+        ends = ["parent_key", "child_key"]
+        gone = not held.join(edges, ends, "left_anti").isEmpty()
+        edges, known = (edges, None) if gone else (edges.join(held, ends, "left_anti"), known)
+    pairs = closure(edges, known)
+    _closures[place] = (mark, pairs)
+    return pairs
 
 
 def vector_table(spark: SparkSession, sf_dir: str) -> VectorTable:

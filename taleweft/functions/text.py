@@ -37,13 +37,13 @@ def context_line(book: Column, chapter: Column, text: Column) -> Column:
 
 
 def context_block(texts: Column) -> Column:
-    """An array of texts as one quoted block."""
+    """An array of texts as one quoted block. Fixed value: what stands before each."""
     mark = '"""\n'
     return F.concat(F.lit(mark), F.array_join(texts, mark), F.lit('"""'))
 
 
 def bullets(pairs: Column) -> Column:
-    """``- id: doc`` for each struct(id, doc) of an array, a line each."""
+    """``- id: doc`` for each struct(id, doc) of an array, a line each. Fixed value: the form of a line."""
     return F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("- "), p["id"], F.lit(": "), p["doc"])), "\n")
 
 
@@ -67,9 +67,9 @@ def simple_question(question: Column) -> Column:
     return F.coalesce(reduce(or_, [asked.rlike(p) for p in PLAIN]), F.lit(False))
 
 
-def log_text(question: str, most: int = 100) -> str:
-    """What a log shows of a question."""
-    return question[:most]
+def log_text(question: str | Column, most: int = 100) -> str | Column:
+    """What a log shows of a question, a string or a column of them."""
+    return F.substring(question, 1, most) if isinstance(question, Column) else question[:most]
 
 
 def flattened(nested: Column, depth: int) -> Column:

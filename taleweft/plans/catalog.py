@@ -212,12 +212,19 @@ def similarity_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.chronological(similarity_topk_filtered(spark, sf_dir), reverse=True)
 
 
-@query("build_edges", f"WITH {t.TREE} SELECT child_key, parent_key, level FROM edge WHERE level = 2")
+@query("build_edges", f"WITH {t.TREE} SELECT child_key, parent_key, level FROM edge")
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks under their labels, and labels under theirs."""
     rows = t.vectors(spark, sf_dir)
-    members = rows.select(F.concat(F.lit("series_1|book_1|chapter_0|level_1|chunk_"), "vec_id").alias("chunk_key"), F.col("label").alias("cluster"))
-    summaries = members.select("cluster").distinct().select("cluster", F.concat(F.lit("series_1|book_1|chapter_0|level_2|chunk_"), "cluster").alias("chunk_key"), F.lit(2).alias("level"))
-    return hierarchy.edges_from_labels(members, summaries, ["cluster"])
+    key = lambda level, index: F.concat(F.lit(f"series_1|book_1|chapter_0|level_{level}|chunk_"), index)
+
+    def under(members: DataFrame, level: int) -> DataFrame:
+        summaries = members.select("cluster").distinct().select("cluster", key(level, F.col("cluster")).alias("chunk_key"), F.lit(level).alias("level"))
+        return hierarchy.edges_from_labels(members, summaries, ["cluster"])
+
+    chunks = rows.select(key(1, F.col("vec_id")).alias("chunk_key"), F.col("label").alias("cluster"))
+    labels = rows.select(key(2, F.col("label")).alias("chunk_key"), (F.col("label") % 3).alias("cluster"))
+    return under(chunks, 2).unionByName(under(labels.distinct(), 3))
 
 
 @query("top_level_only", f"WITH {t.TREE} SELECT chunk_key, level FROM node WHERE chunk_key NOT IN (SELECT child_key FROM edge)")

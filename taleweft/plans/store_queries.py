@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bullets, flattened, patched, simple_question
+from ..functions.text import bullets, flattened, log_text, patched, simple_question
 from ..functions.vectors import squared_l2
 from ..operators import catalog as shelf
 from ..operators import conversation, hierarchy
@@ -94,11 +94,12 @@ def metadata_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patched(t.chunks(spark, sf_dir), level=2, lang="und", entities="x").select("chunk_key", "level", "lang")
 
 
-@query("flattened_words", r"SELECT doc_id, string_split(text, ' ')[1:4] AS words FROM documents")
+@query("flattened_words", r"SELECT doc_id, string_split(text, ' ') AS words FROM documents")
 def flattened_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of documents, from arrays two levels deep."""
+    """All words of documents, from arrays two levels deep: pairs of words, one in each array of the next level. A null text has none."""
     w = F.split("text", " ", -1)
-    return t.documents(spark, sf_dir).select("doc_id", flattened(F.array(F.array(F.slice(w, 1, 2)), F.array(F.slice(w, 3, 2))), 2).alias("words"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(2)), lambda i: F.array(F.slice("w", i, 2)))
+    return t.documents(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.when(F.col("w").isNotNull(), flattened(pairs, 2)).alias("words"))
 
 
 @query("bullet_lists", "SELECT e.label, string_agg('- ' || d.doc_id || ': ' || d.text, chr(10) ORDER BY d.doc_id::VARCHAR) AS bullets FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY e.label")
@@ -132,7 +133,7 @@ def simple_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("question_logs", "SELECT conv_id, turn, substr(text, 1, 100) AS shown FROM conversations WHERE role = 'user'")
 def question_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.messages(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 100).alias("shown"))
+    return t.messages(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", log_text(F.col("text")).alias("shown"))
 
 
 @query("conversation_log", f"WITH {t.TURNS} SELECT conversation_id, to_json(list({{'sequence': sequence, 'question': question, 'response': response}} ORDER BY sequence))::VARCHAR AS turns FROM turns GROUP BY 1")

@@ -74,7 +74,9 @@ class VectorTable:
         place = F.array_position(F.array(*names), F.col("__own")) - 1 if names else F.lit(-1)
         known = known.withColumn("cell", F.coalesce(place, F.lit(-1)).cast("int"))
         known = known.withColumns({n: F.when(F.col("__good"), F.col(n)) for n in names}).drop("__good")
-        ranged = known.repartitionByRange("cell", "__own").sortWithinPartitions("cell", "__own")
+        plain = [f"`{f.name}`" for f in vectors.schema.fields if "map<" not in f.dataType.simpleString()]
+        known = known.withColumn("__tie", F.xxhash64(*plain))  # many copies of one vector spread over tasks too
+        ranged = known.repartitionByRange("cell", "__own", "__tie").sortWithinPartitions("cell", "__own").drop("__tie")
         ranged.write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/generation={g}")
         written = self.rows().filter(F.col("generation") == g)
         stats = written.groupBy("cell").agg(F.count("*").alias("n"), F.min("__own").alias("a"), F.max("__own").alias("b"))

@@ -72,3 +72,15 @@ def test_the_kept_table_follows_its_files(spark, tmp_path):
     assert ids() == [9, 4, 3] and vector_shelf.vector_table(spark, str(tmp_path)) is first
     write([5, 6], "overwrite")
     assert ids() == [6, 5]
+
+
+def test_copies_of_one_vector_spread_over_tasks(spark, tmp_path):
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i), 0.0]) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = pivots.write_vectors(spark.createDataFrame(rows, "chunk_key long, embedding array<double>"), str(tmp_path / "v"), pivots=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = table.rows().filter("embedding[1] = 2").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 1500
+    assert [r[0] for r in shown(pivots.nearest(table, [1.0, 2.0], 4))] == [1, 2, 4, 5]

@@ -140,3 +140,16 @@ def test_query_equals_all_pairs_with_true_counts(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     want, close = brute(sorted(rows))
     assert not close and {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, data).collect()} == want
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_copies_of_a_large_group_are_found_however_many_there_are(spark, block):
+    """Edits of their own outweigh what hundreds of copies share; by counts each is 0.82 to 0.85 like the first."""
+    base = [f"w{j}" for j in range(250)]
+    group = [(0, " ".join(base))] + [(i, " ".join(f"own{i}x{j}" if j % 50 == i % 50 and j // 50 < 4 else w for j, w in enumerate(base))) for i in range(1, 120)]
+    others = [(1000 + i, " ".join(f"o{i}y{j}" for j in range(12))) for i in range(4000)]
+    df = spark.createDataFrame(group + others, "doc_id long, text string").repartition(6)
+    by_weight = {r["id"]: r["class_id"] for r in neardup.classes(df, bands=30, rows=2, block=block).collect()}
+    assert len({by_weight[i] for i, _ in group}) > 100
+    found = {r["id"]: r["class_id"] for r in neardup.classes(df, bands=30, rows=2, block=block, counts=True).collect()}
+    assert {found[i] for i, _ in group} == {0} and all(found[i] == i for i, _ in others)

